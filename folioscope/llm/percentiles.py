@@ -85,6 +85,21 @@ def combine(histograms: DataFrame, group: list[str]) -> DataFrame:
     return histograms.groupBy(*group, "digit").agg(F.sum("n").alias("n"))
 
 
+def from_histogram(histograms: DataFrame, group: list[str], ps: list[float]) -> DataFrame:
+    """(*group, p, n, value) read off combined first-digit histograms (*group, digit, n), within
+    ``error_bound(1)``; ``percentiles`` follows the digits further and is exact."""
+    cum = histograms.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("digit"))).withColumn(
+        "total", F.sum("n").over(Window.partitionBy(*group))
+    )
+    wanted = cum.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn(
+        "rank", F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("p") * F.col("total"), 9)).cast("long"))
+    )
+    hit = wanted.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    low = F.shiftleft(F.col("digit"), 64 - DIGIT)
+    middle = key_value(low + F.lit(1 << (63 - DIGIT)))
+    return hit.select(*group, "p", F.col("total").alias("n"), F.when(F.col("digit") == 0, 0.0).otherwise(middle).alias("value"))
+
+
 def percentiles(values: DataFrame, group: list[str], ps: list[float], passes: int = PASSES) -> DataFrame:
     """(*group, p, n, value) with the smallest value whose share of values up to it is at least
     ``p``, exactly or, with fewer passes, within ``error_bound(passes)``.

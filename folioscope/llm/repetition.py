@@ -22,7 +22,23 @@ RUN = 5
 THRESHOLD = 0.35
 SAMPLE_ROWS = 256  # documents on which the rules' cost and selectivity are estimated
 SAMPLE_CHARS = 20_000  # of each sampled document; the estimate only, never the result
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """A class of letters only: word signs without digits, the underscore and other numerals."""
+    other, low = [], None
+    for code in range(0x110000 + 1):
+        ch = chr(code) if code < 0x110000 else " "
+        numeral = ch.isalnum() and not ch.isalpha()
+        if numeral and low is None:
+            low = code
+        elif not numeral and low is not None:
+            other.append(f"{re.escape(chr(low))}-{re.escape(chr(code - 1))}")
+            low = None
+    return rf"[^\W\d_{''.join(other)}]+"
+
+
+_WORDS = re.compile(_letters())
 
 
 class Doc:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import records
+from folioscope.plans import layout, records
 
-QUERIES = {**records.QUERIES}
-ORACLE = {**records.ORACLE}
+QUERIES = {**layout.QUERIES, **records.QUERIES}
+ORACLE = {**layout.ORACLE, **records.ORACLE}

@@ -106,8 +106,8 @@ def union_table(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def json_columns(values: DataFrame, json_col: str, columns: list[str]) -> DataFrame:
     """The listed keys of JSON objects as text columns; missing and null are null."""
-    v = F.try_parse_json(json_col)
-    return values.select(*[c for c in values.columns if c != json_col], *(F.try_variant_get(v, f"$['{c}']", "string").alias(c) for c in columns))
+    whole = F.when(F.try_parse_json(json_col).isNotNull(), F.col(json_col))
+    return values.select(*[c for c in values.columns if c != json_col], *(F.get_json_object(whole, f"$['{c}']").alias(c) for c in columns))
 
 
 def is_blank(value: Column) -> Column:
@@ -120,10 +120,12 @@ def validation(records_: DataFrame, schema_json: str) -> DataFrame:
     scalars, arrays = compile_schema(schema_json)
     want = F.array(*(F.lit(n) for n, _ in scalars)) if scalars else F.array().cast("array<string>")
     missing = F.array_except(want, F.map_keys("fields"))
-    rows_ok = [
-        F.coalesce(F.forall(F.col("arrays")[a["name"]], lambda o, a=a: F.size(F.array_except(F.array(*(F.lit(k) for _, k in a["columns"])), F.map_keys(o))) == 0), F.lit(False))
-        for a in arrays if a["columns"]
-    ]
+
+    def complete(a: dict) -> Column:
+        keys = F.array(*(F.lit(k) for _, k in a["columns"]))
+        return F.coalesce(F.forall(F.col("arrays")[a["name"]], lambda o: F.size(F.array_except(keys, F.map_keys(o))) == 0), F.lit(False))
+
+    rows_ok = [complete(a) for a in arrays if a["columns"]]
     whole = reduce(lambda a, b: a & b, rows_ok, F.size(missing) == 0)
     blank = F.forall(F.map_values("fields"), is_blank) if scalars else F.lit(False)
     return records_.select("doc_id", whole.alias("matches"), blank.alias("is_empty"), missing.alias("missing"))

@@ -40,9 +40,9 @@ def budget_cutoff(calls: DataFrame, max_cents: int = 50) -> DataFrame:
     c = c.withColumn("block", F.floor(F.col("call_id") / 4096))
     blocks = c.groupBy("layout_id", "block").agg(F.sum("cents").alias("sum"))
     before = Window.partitionBy("layout_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("layout_id", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    blocks = blocks.select("layout_id", "block", F.coalesce(F.sum("sum").over(before), F.lit(0).cast("long")).alias("before"))
     inside = Window.partitionBy("layout_id", "block").orderBy("call_id")
-    out = c.join(blocks, ["layout_id", "block"]).withColumn("spent", F.col("before") + F.sum("cents").over(inside))
+    out = c.join(blocks, ["layout_id", "block"]).withColumn("spent", F.col("before") + F.coalesce(F.sum("cents").over(inside), F.lit(0)))
     return out.select("call_id", "layout_id", "spent", (F.col("spent") > max_cents).alias("over"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import layout, records
+from folioscope.plans import extraction, layout, records
 
-QUERIES = {**layout.QUERIES, **records.QUERIES}
-ORACLE = {**layout.ORACLE, **records.ORACLE}
+QUERIES = {**extraction.QUERIES, **layout.QUERIES, **records.QUERIES}
+ORACLE = {**extraction.ORACLE, **layout.ORACLE, **records.ORACLE}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import rows, spans as S
 from folioscope.operators.schema import parse_schema
+from folioscope.session import materialize
 
 UNKNOWN = "Unknown"
 
@@ -71,7 +72,7 @@ def table_cells(nodes: DataFrame, columns: list[tuple[str, str]], tolerance: flo
 def records(spans: DataFrame, schema_json: str) -> DataFrame:
     """(doc_id, fields, arrays, confidence): a map of scalars, a map of arrays of objects, and how
     sure each scalar is."""
-    nodes = S.graph(spans)
+    nodes = materialize(S.graph(spans), "nodes")  # read by scalars and by each array
     scalars, arrays = compile_schema(schema_json)
     out = nodes.select("doc_id").distinct()
     if scalars:

@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters with Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 
 # Table header labels and the keys they stand for.
 HEADER_KEYS = {

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -80,22 +81,25 @@ def _features(v) -> list[str]:
     if isinstance(v, bool):
         return [f"b{v}"]
     if isinstance(v, (int, float)):
-        a = abs(v)
+        try:
+            a = abs(float(v))
+        except OverflowError:
+            a = math.inf
         if not math.isfinite(a):
             return ["ninf"]
         whole = float(v).is_integer()
         decimals = 0 if whole else min(6, len(repr(v).rpartition(".")[2]))
         return [f"g{min(18, int(math.log10(a + 1) * 2))}", f"d{decimals}{'-' if v < 0 else ''}", f"i{isinstance(v, int)}"]
-    text = v.strip()
+    text = v.strip() if v.isascii() else v.strip().encode("utf-8", "replace").decode()
     mask = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", text))[:24]
-    return [f"m{mask if len(set(mask)) < 9 else len(mask)}", f"v{zlib.crc32(text.encode()) % VALUE_BUCKETS}", f"w{min(12, text.count(' '))}"]
+    return [f"m{mask if len(set(mask)) < 9 else len(mask)}", f"v{zlib.crc32(text.encode("utf-8", "replace")) % VALUE_BUCKETS}", f"w{min(12, text.count(' '))}"]
 
 
 def _walk(value, prefix: str, kinds: Counter, sketch: Counter) -> None:
     for key, v in value.items():
         if v is None:
             continue
-        path = f"{prefix}{key}"
+        path = f"{prefix}{key if key.isascii() else key.encode('utf-8', 'replace').decode()}"
         kinds[path, _KINDS[type(v)]] += 1
         if isinstance(v, dict):
             _walk(v, path + ".", kinds, sketch)
@@ -116,6 +120,7 @@ def _into(items: list, prefix: str, kinds: Counter, sketch: Counter) -> None:
 
 def _profile_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["layout_id", "seq_no", "field", "what", "item", "n"]
+    sys.setrecursionlimit(100_000)
     for pdf in batches:
         kinds: dict[tuple, Counter] = defaultdict(Counter)
         sketches: dict[tuple, Counter] = defaultdict(Counter)

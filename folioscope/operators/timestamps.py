@@ -119,6 +119,7 @@ def parse(texts: DataFrame) -> DataFrame:
         F.when(~fit | (p[7] == ""), None).when(zone == "Z", 0).when(p[7].startswith("-"), -signed).when(p[7].startswith("+"), signed)
         .otherwise(F.try_element_at(abbreviation, zone))
     )
+    offset = F.when(F.abs(offset) <= 18 * 60, offset)
     return rows.select(
         "*",
         F.when(slash, _instant(y, b, a, p)).when(fit, _instant(y, month, b, p)).alias("local"),

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -386,8 +387,13 @@ def _read(kind: str):
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """The PDF files of a folder (names end in .pdf, in this case) as path and content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", recursive).load(folder).select("path", "content")
+    """The PDF files of a folder (names end in .pdf, in this case) as path and content; none where
+    the folder has none."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", recursive)
+    try:
+        return reader.load(folder if recursive else f"{folder}/*.pdf").select("path", "content")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, content binary")
 
 
 def parse_files(files: DataFrame, kind: str = "spans") -> DataFrame:

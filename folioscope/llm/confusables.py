@@ -17,18 +17,18 @@ from pyspark.sql import functions as F
 
 # Characters that can't be seen.
 INVISIBLE = (
-    "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏"
-    "‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩"
-    "⁪⁫⁬⁭⁮⁯︀︎️﻿￹￺￻"
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f"
+    "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069"
+    "\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe0e\ufe0f\ufeff\ufff9\ufffa\ufffb"
 )
 # Blanks other than the plain one.
-BLANKS = "               　"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Signs drawn like ASCII punctuation, and the ASCII sign. Long dashes and curly quotes stay.
 SIGNS = {
-    "‐": "-", "‑": "-", "⁃": "-", "−": "-", "﹣": "-",
-    "․": ".", "﹒": ".", "﹐": ",", "﹔": ";", "﹕": ":",
-    ";": ";", "։": ":", "∶": ":", "꞉": ":",
-    "⁄": "/", "∕": "/", "∗": "*", "ʼ": "'", "ǃ": "!", "ǀ": "|", "∼": "~",
+    "\u2010": "-", "\u2011": "-", "\u2043": "-", "\u2212": "-", "\ufe63": "-",
+    "\u2024": ".", "\ufe52": ".", "\ufe50": ",", "\ufe54": ";", "\ufe55": ":",
+    "\u037e": ";", "\u0589": ":", "\u2236": ":", "\ua789": ":",
+    "\u2044": "/", "\u2215": "/", "\u2217": "*", "\u02bc": "'", "\u01c3": "!", "\u01c0": "|", "\u223c": "~",
 }
 # Letters drawn alike in Cyrillic, Greek and Latin.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјкорсухһԁԛԝӏӀҮ"
@@ -90,21 +90,22 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(config={"threads": 1})
-    sql = embedded_sql()
+    sql = f"SELECT plain, canonical FROM ({embedded_sql()}) ORDER BY i"
     for batch in batches:
-        con.register("batch", pa.Table.from_batches([batch]))
-        out = con.execute(sql).to_arrow_table()
+        # only the text goes to DuckDB, so other columns may have any name and type
+        con.register("batch", pa.table({"text": batch.column("text"), "i": pa.array(range(batch.num_rows), pa.int64())}))
+        out = con.sql(sql).to_arrow_table().combine_chunks()
         con.unregister("batch")
-        names = [*batch.schema.names, "plain", "canonical"]
-        want = pa.schema([*batch.schema, pa.field("plain", pa.string()), pa.field("canonical", pa.string())])
-        yield from out.select(names).cast(want).to_batches()
+        columns = [out.column(c).cast(pa.string()) for c in ("plain", "canonical")]
+        whole = [c.chunk(0) if c.num_chunks else pa.array([], pa.string()) for c in columns]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *whole], names=[*batch.schema.names, "plain", "canonical"])
     con.close()
 
 
 def normalise(texts: DataFrame) -> DataFrame:
     """texts(..., text) with ``plain`` and ``canonical``. Null stays null, empty stays empty; other
     columns pass unchanged, but may not be called ``plain`` or ``canonical`` (they are replaced)."""
-    texts = texts.drop("plain", "canonical", "folded", "o")
+    texts = texts.drop("plain", "canonical")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
     return texts.mapInArrow(_normalise, f"{schema}, plain string, canonical string")
 

@@ -34,11 +34,12 @@ READ_TWICE_AS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850")
 #: Readers that leave bytes undefined; those bytes stay as control characters, vanish or become U+FFFD.
 PARTIAL = ("cp1252", "cp1250", "cp1251")
 #: A form from a single-byte chain counts as damage only when it is this much rarer than the original
-#: word: forms of one or two signs, which can arise by chance, and longer ones.
+#: word: forms of one or two signs, which can arise by chance, and longer ones. The short ones count
+#: only under chains that also explain longer words of the corpus.
 RARITY_SHORT, RARITY = 20, 2
 WORD_BREAK = r"[ \t\r\n0-9]+"
 _EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
-FORM_SCHEMA = "form string, word string, n_word long, chain string, steps int, strict boolean, lossless boolean"
+FORM_SCHEMA = "form string, word string, n_word long, chain string, rank int, strict boolean, lossless boolean"
 
 
 @lru_cache(maxsize=None)
@@ -56,14 +57,15 @@ def _read(data: bytes, codec: str, undefined: str = "keep") -> str:
     return "".join(map(_reader(codec, undefined).__getitem__, data))
 
 
-def garbled_forms(word: str) -> dict[str, tuple[str, int, bool, bool]]:
-    """All wrong readings of ``word``: form -> (chain, steps, strict, lossless). ``strict`` forms
+def garbled_forms(word: str) -> dict[tuple[str, str], tuple[int, bool, bool]]:
+    """All wrong readings of ``word``: (form, chain) -> (rank, strict, lossless), the likelier
+    chains first. ``strict`` forms
     come from UTF-8 bytes and hardly arise by chance; ``lossless`` ones lead back to the word."""
-    out: dict[str, tuple[str, int, bool, bool]] = {}
+    out: dict[tuple[str, str], tuple[int, bool, bool]] = {}
 
-    def put(form: str, chain: str, steps: int, strict: bool, lossless: bool) -> None:
-        if form and form != word and form not in out:
-            out[form] = (chain, steps, strict, lossless)
+    def put(form: str, chain: str, strict: bool, lossless: bool) -> None:
+        if form and form != word:
+            out[form, chain] = (len(out), strict, lossless)
 
     for enc in WRITTEN_IN:
         try:
@@ -75,37 +77,37 @@ def garbled_forms(word: str) -> dict[str, tuple[str, int, bool, bool]]:
             if dec == enc:
                 continue
             once = _read(data, dec)
-            put(once, f"{enc}>{dec}", 1, utf8, True)
+            put(once, f"{enc}>{dec}", utf8, True)
             if utf8 and "\xa0" in once:  # the no-break space was later taken for a blank
-                put(once.replace("\xa0", ""), f"{enc}>{dec}-blank", 1, False, False)
+                put(once.replace("\xa0", ""), f"{enc}>{dec}-blank", False, False)
             if dec in PARTIAL:
-                put(_read(data, dec, "drop"), f"{enc}>{dec}-drop", 1, utf8, False)
-                put(_read(data, dec, "mark"), f"{enc}>{dec}-mark", 1, utf8, False)
+                put(_read(data, dec, "drop"), f"{enc}>{dec}-drop", utf8, False)
+                put(_read(data, dec, "mark"), f"{enc}>{dec}-mark", utf8, False)
             if utf8:
                 again = once.encode("utf-8")
                 for dec2 in READ_TWICE_AS:
-                    put(_read(again, dec2), f"{enc}>{dec}>utf-8>{dec2}", 2, True, True)
+                    put(_read(again, dec2), f"{enc}>{dec}>utf-8>{dec2}", True, True)
                     if dec2 in PARTIAL:
-                        put(_read(again, dec2, "drop"), f"{enc}>{dec}>utf-8>{dec2}-drop", 2, True, False)
+                        put(_read(again, dec2, "drop"), f"{enc}>{dec}>utf-8>{dec2}-drop", True, False)
         if utf8:
-            put(data.decode("ascii", "replace"), "utf-8>ascii", 1, True, False)
+            put(data.decode("ascii", "replace"), "utf-8>ascii", True, False)
         else:
-            put(data.decode("utf-8", "replace"), f"{enc}>utf-8", 1, "�" in data.decode("utf-8", "replace"), False)
+            put(data.decode("utf-8", "replace"), f"{enc}>utf-8", "�" in data.decode("utf-8", "replace"), False)
     return out
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("form", pa.string()), ("word", pa.string()), ("n_word", pa.int64()), ("chain", pa.string()),
-         ("steps", pa.int32()), ("strict", pa.bool_()), ("lossless", pa.bool_())]
+         ("rank", pa.int32()), ("strict", pa.bool_()), ("lossless", pa.bool_())]
     )
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(words), 500):
             rows = [
-                (form, w, n, *how)
+                (form, w, n, chain, *how)
                 for w, n in zip(words[at : at + 500], counts[at : at + 500])
-                for form, how in garbled_forms(w).items()
+                for (form, chain), how in garbled_forms(w).items()
             ]
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
@@ -126,7 +128,7 @@ def with_words(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(form, word, chain, lossless, strict, steps, n_word, again): the corpus' garbled words with their
+    """(form, word, chain, lossless, strict, rank, n_word, again): the corpus' garbled words with their
     possible originals. ``again`` marks originals that are garbled words themselves.
 
     words(word) holds one row per occurrence. The result is written to the shared folder; its
@@ -140,6 +142,11 @@ def garbled_words(words: DataFrame) -> DataFrame:
         | (F.col("n_form") * F.when(F.length("form") <= 2, RARITY_SHORT).otherwise(RARITY) <= F.col("n_word"))
     )
     hits = materialize(hits, "p1-hits")
+    # one or two signs prove little: their chain must have garbled longer words as well
+    short = (F.length("form") <= 2) & ~F.col("strict")
+    likeliest = hits.where(F.length("form") > 2).groupBy("form", "word").agg(F.min_by("chain", "rank").alias("chain"))
+    at_work = likeliest.select("chain").distinct()
+    hits = hits.where(~short).unionByName(hits.where(short).join(F.broadcast(at_work), "chain", "left_semi").select(*hits.columns))
     damaged = hits.select(F.col("form").alias("word")).distinct().withColumn("again", F.lit(1))
     return hits.join(damaged, "word", "left")
 
@@ -176,7 +183,7 @@ def repair(texts: DataFrame) -> DataFrame:
     cand = occurrences.join(bad, "form")
     same_chain = Window.partitionBy(*key, "chain")
     best = Window.partitionBy(*key, "form").orderBy(
-        F.col("again").asc_nulls_first(), F.desc("explained"), F.desc("strict"), F.desc("lossless"), "steps",
+        F.col("again").asc_nulls_first(), F.desc("explained"), F.desc("strict"), F.desc("lossless"), "rank",
         F.desc("n_word"), "word", "chain",
     )
     chosen = (

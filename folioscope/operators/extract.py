@@ -15,21 +15,25 @@ from folioscope.session import materialize
 UNKNOWN = "Unknown"
 
 
-def label_values(nodes: DataFrame, labels: list[str]) -> DataFrame:
+def label_values(spans: DataFrame, labels: list[str]) -> DataFrame:
     """(doc_id, label, value, how): value of each label in each document, null where there is none.
 
     First the right neighbour of the first span equal to the label in lower case ('exact'), then of
     any such span, then the rest of the first span that starts with the label and has text after its
-    colon ('heuristic'). ``nodes`` are spans with their neighbours."""
+    colon ('heuristic'). Neighbours are looked up for the spans equal to a label only."""
     wanted = F.explode(F.array(*(F.lit(x) for x in labels)))
-    lines = nodes.select("doc_id", "span_idx", T.trim("text").alias("t"), F.nullif(F.col("right"), F.lit("")).alias("right"))
-    docs = nodes.select("doc_id").distinct().withColumn("label", wanted)
-    low = F.lower(F.col("t"))
+    docs = spans.select("doc_id").distinct().withColumn("label", wanted)
+    low = F.lower(T.trim("text"))
     equal = low.isin(*[x.strip().lower() for x in labels])
     starts = reduce(lambda a, b: a | b, [low.startswith(x.strip().lower()) for x in labels])
-    cand = lines.where(equal | (starts & F.col("t").contains(":"))).withColumn("label", wanted)
+    own = spans.where(equal)
+    right = S.neighbours(spans, own, ("right",)).select("doc_id", "span_idx", "neighbour_idx")
+    texts = spans.select("doc_id", F.col("span_idx").alias("neighbour_idx"), F.col("text").alias("right"))
+    right = right.join(texts, ["doc_id", "neighbour_idx"]).select("doc_id", "span_idx", F.nullif("right", F.lit("")).alias("right"))
+    lines = spans.where(equal | (starts & F.col("text").contains(":"))).select("doc_id", "span_idx", T.trim("text").alias("t"))
     key = F.lower(T.trim("label"))
-    cand = cand.where(F.startswith(F.lower("t"), key)).withColumn("same", F.lower("t") == key).withColumn("inline", F.nullif(T.colon_value(F.col("t")), F.lit("")))
+    cand = lines.join(right, ["doc_id", "span_idx"], "left").withColumn("label", wanted).where(F.startswith(F.lower("t"), key))
+    cand = cand.withColumn("same", F.lower("t") == key).withColumn("inline", F.nullif(T.colon_value(F.col("t")), F.lit("")))
     best = cand.groupBy("doc_id", "label").agg(
         F.min_by(F.struct("right"), F.when(F.col("same"), F.col("span_idx"))).alias("first"),
         F.min_by("right", F.when(F.col("same") & F.col("right").isNotNull(), F.col("span_idx"))).alias("any"),
@@ -48,11 +52,11 @@ def compile_schema(schema_json: str) -> tuple[list[tuple[str, str]], list[dict]]
     return scalars, [f for f in fields if f["kind"] == "array"]
 
 
-def scalar_fields(nodes: DataFrame, schema_json: str) -> DataFrame:
+def scalar_fields(spans: DataFrame, schema_json: str) -> DataFrame:
     """(doc_id, field, value, confidence) of the schema's scalar fields; 'Unknown' without value."""
     scalars, _ = compile_schema(schema_json)
     names = F.create_map(*(F.lit(x) for field, label in scalars for x in (label, field)))
-    v = label_values(nodes, [label for _, label in scalars])
+    v = label_values(spans, [label for _, label in scalars])
     return v.select("doc_id", names[F.col("label")].alias("field"), F.coalesce("value", F.lit(UNKNOWN)).alias("value"), F.coalesce("how", F.lit("fuzzy")).alias("confidence"))
 
 
@@ -72,7 +76,7 @@ def table_cells(nodes: DataFrame, columns: list[tuple[str, str]], tolerance: flo
 def records(spans: DataFrame, schema_json: str) -> DataFrame:
     """(doc_id, fields, arrays, confidence): a map of scalars, a map of arrays of objects, and how
     sure each scalar is."""
-    nodes = materialize(S.graph(spans), "nodes")  # read by scalars and by each array
+    nodes = materialize(spans, "extract-spans")  # read by scalars and by each array
     scalars, arrays = compile_schema(schema_json)
     out = nodes.select("doc_id").distinct()
     if scalars:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.session import materialize
 
 ROW_TOLERANCE = 4.0
 GAP = 10.0
@@ -101,26 +101,34 @@ def row_boundaries(spans: DataFrame) -> DataFrame:
     return g.where(F.size("b") >= 2).select("doc_id", "row_no", F.col("b.b").alias("boundaries"), "cells")
 
 
-def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows by row_no into clusters: the first whose first row has as many boundaries, each within reach."""
-    heads: list = []
-    out = []
-    for r in pdf.sort_values("row_no").itertuples():
-        b = list(r.boundaries)
-        k = next((i for i, h in enumerate(heads) if len(h) == len(b) and all(abs(p - q) <= BOUNDARY for p, q in zip(h, b))), None)
-        if k is None:
-            k = len(heads)
-            heads.append(b)
-        out.append((r.doc_id, r.row_no, k))
-    return pd.DataFrame(out, columns=["doc_id", "row_no", "cluster"])
+def first_fit(boundaries: DataFrame) -> DataFrame:
+    """(doc_id, row_no, cluster) of boundaries(doc_id, row_no, boundaries): rows in order join the
+    first cluster whose first row has as many boundaries, each within reach. A fold over sorted
+    partitions that keeps the heads of one document's clusters."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, heads = None, []
+        for batch in batches:
+            out = []
+            for d, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if d != doc:
+                    doc, heads = d, []
+                k = next((i for i, h in enumerate(heads) if len(h) == len(b) and all(abs(p - q) <= BOUNDARY for p, q in zip(h, b))), len(heads))
+                if k == len(heads):
+                    heads.append(b)
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["doc_id", "row_no", "cluster"])
+
+    ordered = boundaries.repartition("doc_id").sortWithinPartitions("doc_id", "row_no")
+    return ordered.select(F.col("doc_id").cast("long"), F.col("row_no").cast("int"), "boundaries").mapInArrow(fold, "doc_id long, row_no int, cluster int")
 
 
 def table_columns(spans: DataFrame) -> DataFrame:
     """(doc_id, col_no, header, x0, x1) of the largest cluster of at least three aligned rows (the
     first of equals); its lowest row has the headers, which need a letter among them."""
-    c = row_boundaries(spans)
+    c = materialize(row_boundaries(spans), "row-boundaries")
     many = c.withColumn("k", F.count("*").over(Window.partitionBy("doc_id"))).where("k >= 3")
-    clusters = many.select("doc_id", "row_no", "boundaries").groupBy("doc_id").applyInPandas(_first_fit, "doc_id long, row_no int, cluster int")
+    clusters = first_fit(many.select("doc_id", "row_no", "boundaries"))
     sizes = clusters.groupBy("doc_id", "cluster").agg(F.count("*").alias("n"), F.min("row_no").alias("head"))
     best = sizes.where("n >= 3").groupBy("doc_id").agg(F.max_by(F.struct("cluster", "head"), F.struct("n", -F.col("cluster"))).alias("b"))
     rows = c.join(clusters, ["doc_id", "row_no"]).join(best, "doc_id").where("cluster = b.cluster")

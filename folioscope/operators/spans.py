@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,37 +41,40 @@ def _band(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("int")
 
 
-def neighbours(spans: DataFrame) -> DataFrame:
+def neighbours(spans: DataFrame, of: DataFrame | None = None, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
     """(doc_id, span_idx, direction, neighbour_idx, distance): the nearest span fully inside the
     corridor of each direction; ties go to the lowest span_idx. Spans are joined by document and
-    bands of their position, so long documents don't pair all their spans."""
+    bands of their position, so long documents don't pair all their spans. ``of`` limits whose
+    neighbours are looked for, among all spans."""
     s = spans.select("doc_id", "span_idx", "x0", "y0", "x1", "y1")
-    a = s.select("doc_id", *(F.col(c).alias(f"a_{c}") for c in s.columns[1:]))
+    mine = s if of is None else of.select(*s.columns)
+    a = mine.select("doc_id", *(F.col(c).alias(f"a_{c}") for c in s.columns[1:]))
     b = s.select("doc_id", *(F.col(c).alias(f"b_{c}") for c in s.columns[1:]))
     dx = (F.col("b_x0") + F.col("b_x1")) / 2 - (F.col("a_x0") + F.col("a_x1")) / 2
     dy = (F.col("b_y0") + F.col("b_y1")) / 2 - (F.col("a_y0") + F.col("a_y1")) / 2
-    d2 = dx * dx + dy * dy
+    beyond = {
+        "right": F.col("b_x0") >= F.col("a_x1"), "left": F.col("b_x1") <= F.col("a_x0"),
+        "top": F.col("b_y0") >= F.col("a_y1"), "bottom": F.col("b_y1") <= F.col("a_y0"),
+    }
 
-    def along(lo: str, size: float) -> DataFrame:
+    def along(lo: str, size: float, wanted: list[str]) -> DataFrame:
         hi = lo.replace("0", "1")
         bands = F.sequence(_band(F.col(f"a_{lo}") - TOLERANCE, size), _band(F.greatest(F.col(f"a_{lo}"), F.col(f"a_{hi}")) + TOLERANCE, size))
         left = a.withColumn("band", F.explode(bands))
         right = b.withColumn("band", _band(F.col(f"b_{lo}"), size))
         inside = (F.col(f"b_{lo}") >= F.col(f"a_{lo}") - TOLERANCE) & (F.col(f"b_{hi}") <= F.col(f"a_{hi}") + TOLERANCE)
-        return left.join(right, ["doc_id", "band"]).where(inside & (F.col("a_span_idx") != F.col("b_span_idx")))
-
-    across = along("y0", BAND_Y).withColumn(
-        "direction", F.array_compact(F.array(F.when(F.col("b_x0") >= F.col("a_x1"), "right"), F.when(F.col("b_x1") <= F.col("a_x0"), "left")))
-    )
-    upright = along("x0", BAND_X).withColumn(
-        "direction", F.array_compact(F.array(F.when(F.col("b_y0") >= F.col("a_y1"), "top"), F.when(F.col("b_y1") <= F.col("a_y0"), "bottom")))
-    )
-    pairs = [
-        p.select("doc_id", F.col("a_span_idx").alias("span_idx"), F.explode("direction").alias("direction"), F.named_struct(F.lit("d2"), d2, F.lit("i"), F.col("b_span_idx")).alias("c"))
-        for p in (across, upright)
-    ]
-    best = pairs[0].unionByName(pairs[1]).groupBy("doc_id", "span_idx", "direction").agg(F.min("c").alias("c"))
-    return best.select("doc_id", "span_idx", "direction", F.col("c.i").alias("neighbour_idx"), F.sqrt("c.d2").alias("distance"))
+        reached = reduce(lambda p, q: p | q, [beyond[d] for d in wanted])
+        pairs = left.join(right, ["doc_id", "band"]).where(inside & reached & (F.col("a_span_idx") != F.col("b_span_idx")))
+        # the nearest of each direction as a conditional minimum: no row per pair and direction
+        c = F.named_struct(F.lit("d2"), dx * dx + dy * dy, F.lit("i"), F.col("b_span_idx"))
+        best = pairs.groupBy("doc_id", F.col("a_span_idx").alias("span_idx")).agg(*(F.min(F.when(beyond[d], c)).alias(d) for d in wanted))
+        listed = F.explode(F.array(*(F.named_struct(F.lit("direction"), F.lit(d), F.lit("c"), F.col(d)) for d in wanted)))
+        return best.select("doc_id", "span_idx", listed.alias("n")).where("n.c IS NOT NULL")
+
+    across, upright = [d for d in directions if d in ("right", "left")], [d for d in directions if d in ("top", "bottom")]
+    parts = ([along("y0", BAND_Y, across)] if across else []) + ([along("x0", BAND_X, upright)] if upright else [])
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("doc_id", "span_idx", "n.direction", F.col("n.c.i").alias("neighbour_idx"), F.sqrt("n.c.d2").alias("distance"))
 
 
 def graph(spans: DataFrame) -> DataFrame:

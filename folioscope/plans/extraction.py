@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import extract, rows, runs, schema
-from folioscope.operators import spans as S
 from folioscope.plans.layout import _FONTS, BASE, GRAPH, WS, _spans, q_trim
 from folioscope.session import table
 
@@ -220,13 +219,13 @@ _THREE = '{"invoice_number": "string", "date": "date", "total": "number"}'
 @query(f"WITH {_INVOICE} SELECT doc_id, dat AS date, inv AS invoice_number, tot AS total FROM o")
 def extract_invoice(spark: SparkSession, d: str) -> DataFrame:
     """Number, date and total of every invoice by nearest-right lookup, as one wide table."""
-    f = extract.scalar_fields(S.graph(invoices(spark, d)), _THREE)
+    f = extract.scalar_fields(invoices(spark, d), _THREE)
     return extract.union_table(f, ["date", "invoice_number", "total"])
 
 
 @query(f"WITH {_INVOICE} SELECT doc_id, tot AS total, dat || ',' || inv || ',' || tot AS line FROM o")
 def invoice_csv(spark: SparkSession, d: str) -> DataFrame:
-    f = extract.scalar_fields(S.graph(invoices(spark, d)), _THREE)
+    f = extract.scalar_fields(invoices(spark, d), _THREE)
     return extract.csv_rows(f).join(f.where("field = 'total'").select("doc_id", F.col("value").alias("total")), "doc_id")
 
 
@@ -237,7 +236,7 @@ def invoice_layouts(spark: SparkSession, d: str) -> DataFrame:
 
     s = invoices(spark, d)
     ids = layout.layout_ids(s).agg(F.count("*").alias("n_docs"), F.countDistinct("layout_id").alias("n_layouts"))
-    sure = extract.scalar_fields(S.graph(s), _THREE).where("field = 'date' AND confidence = 'exact'").agg(F.count("*").alias("n_exact"))
+    sure = extract.scalar_fields(s, _THREE).where("field = 'date' AND confidence = 'exact'").agg(F.count("*").alias("n_exact"))
     return ids.withColumn("k", F.lit(1)).join(sure.withColumn("k", F.lit(1)), "k").drop("k")
 
 
@@ -252,7 +251,7 @@ _LIST = "[" + ", ".join(f"'{x}'" for x in _LABELS) + "]"
     SELECT doc_id, label, coalesce(a, b, i) AS value, CASE WHEN coalesce(a, b) IS NOT NULL THEN 'exact' WHEN i IS NOT NULL THEN 'heuristic' END AS how FROM v"""
 )
 def label_values(spark: SparkSession, d: str) -> DataFrame:
-    return extract.label_values(S.graph(_spans(spark, d)), _LABELS)
+    return extract.label_values(_spans(spark, d), _LABELS)
 
 
 # ---------------------------------------------------------------- schemas

@@ -40,12 +40,15 @@ LATIN_IN_CYRILLIC = ("ABEKMHOPCTYXaekopcyx", "АВЕКМНОРСТУХаекор
 LATIN_IN_GREEK = ("ABEZHIKMNOPTYXov", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον")
 
 
+# Code ranges of joined letters, ligatures, wide and narrow forms, and styled letters.
+RANGES = ((0x0132, 0x0134), (0x01C4, 0x01CD), (0xFB00, 0xFB07), (0xFF01, 0xFFE7), (0x1D400, 0x1D800))
+
+
 @lru_cache(maxsize=None)
 def compatibility() -> tuple[str, str, dict[str, str]]:
     """Compatibility forms that look like plain signs: single ones (from, to) and joined ones."""
-    ranges = ((0x0132, 0x0134), (0x01C4, 0x01CD), (0xFB00, 0xFB07), (0xFF01, 0xFFE7), (0x1D400, 0x1D800))
     single, joined = {}, {}
-    for low, high in ranges:
+    for low, high in RANGES:
         for code in range(low, high):
             ch = chr(code)
             plain = unicodedata.normalize("NFKC", ch)
@@ -64,11 +67,13 @@ def embedded_sql() -> str:
     """SQL over the Arrow table ``batch`` with a column ``text``: adds ``plain`` (the same reading
     in one form, blanks kept) and ``canonical`` (blanks collapsed and trimmed as well)."""
     from_, to, joined = compatibility()
+    odd = "[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in RANGES) + "".join(SIGNS) + "]"
     t = f"regexp_replace(text, '[{INVISIBLE}]', '', 'g')"
     t = f"translate({t}, {_q(BLANKS)}, {_q(' ' * len(BLANKS))})"
-    t = f"nfc_normalize(translate({t}, {_q(from_)}, {_q(to)}))"
+    # the long tables only for the texts that need them
+    mapped = f"translate(bare, {_q(from_)}, {_q(to)})"
     for ch, plain in joined.items():
-        t = f"replace({t}, {_q(ch)}, {_q(plain)})"
+        mapped = f"replace({mapped}, {_q(ch)}, {_q(plain)})"
     cyr, grk = f"[{CYRILLIC}]", f"[{GREEK}]"
     word = f"""CASE
       WHEN NOT regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN w
@@ -77,7 +82,8 @@ def embedded_sql() -> str:
       WHEN regexp_matches(w, '\\p{{Latin}}') OR NOT regexp_matches(o, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN translate(w, {_q(CYRILLIC + GREEK)}, {_q(CYRILLIC_AS + GREEK_AS)})
       ELSE w END"""
     return f"""
-    WITH base AS (SELECT *, {t} AS folded FROM batch),
+    WITH cut AS (SELECT *, CASE WHEN regexp_matches(text, '[^\\x20-\\x7e]') THEN {t} ELSE text END AS bare FROM batch),
+    base AS (SELECT * EXCLUDE (bare), CASE WHEN bare IS NULL THEN NULL WHEN regexp_matches(bare, {_q(odd)}) THEN nfc_normalize({mapped}) ELSE nfc_normalize(bare) END AS folded FROM cut),
     other AS (SELECT *, regexp_replace(folded, '[{CYRILLIC}{GREEK}]', '', 'g') AS o FROM base),
     spelt AS (SELECT * EXCLUDE (o, folded), CASE WHEN regexp_matches(folded, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN
         array_to_string(list_transform(regexp_extract_all(folded, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')

@@ -18,6 +18,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,17 +310,21 @@ def versions(manifest_profile: DataFrame, record_profile: DataFrame) -> DataFram
     return m.unionByName(r.select(F.lit("record").alias("src"), "layout_id", "seq_no", "field", "kind", F.lit("").alias("label")))
 
 
-def _renames_of_step(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    beside = {}
-    for r in pdf.itertuples():
-        for p in r.side_by_side:
-            beside[r.field, p["b"]] = (p["together"], p["expected"], p["layouts"], p["shared"])
-    rows = [
-        {"field": r.field, "kind": r.kind, "label": r.label, "sketch": dict(r.sketch) if r.sketch is not None else None, "side": r.side}
-        for r in pdf.itertuples()
-    ]
-    found = match_step([r for r in rows if r["side"] == "gone"], [r for r in rows if r["side"] == "come"], beside)
-    return pd.DataFrame([(*key, b, a) for a, b in found], columns=["src", "layout_id", "seq_no", "field_name", "was_name"])
+def _renames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["src", "layout_id", "seq_no", "field_name", "was_name"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    for batch in batches:
+        out = []
+        for step in batch.to_pylist():
+            beside, fields = {}, []
+            for f in step["fields"]:
+                for p in f["side_by_side"]:
+                    beside[f["field"], p["b"]] = (p["together"], p["expected"], p["layouts"], p["shared"])
+                fields.append(f | {"sketch": {e["item"]: e["n"] for e in f["sketch"]} if f["sketch"] is not None else None})
+            found = match_step([f for f in fields if f["side"] == "gone"], [f for f in fields if f["side"] == "come"], beside)
+            out += [(step["src"], step["layout_id"], step["seq_no"], new, old) for old, new in found]
+        columns = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
@@ -377,7 +382,7 @@ def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
 
     # sketches: of the file itself for records, of the name in all files for manifests
     sketch = record_profile.where("what = 'sketch'")
-    as_map = F.map_from_entries(F.collect_list(F.struct("item", "n")))
+    as_map = F.sort_array(F.collect_list(F.struct("item", "n")))
     local = sketch.groupBy("layout_id", "seq_no", "field").agg(as_map.alias("sketch"))
     overall = sketch.groupBy("field", "item").agg(F.sum("n").alias("n")).groupBy("field").agg(as_map.alias("sketch"))
     here = open_.where("src = 'record'").join(steps, at)
@@ -389,9 +394,10 @@ def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
     described = described.select(
         *at, "field", "side", "kind", "label", "sketch", F.coalesce("side_by_side", F.array().cast(pair)).alias("side_by_side")
     )
-    renamed = described.groupBy(*at).applyInPandas(
-        _renames_of_step, "src string, layout_id string, seq_no int, field_name string, was_name string"
-    )
+    # a step's fields are as many as a schema has; the match is made in the order of their names
+    one = F.struct("field", "side", "kind", "label", "sketch", "side_by_side")
+    per_step = described.groupBy(*at).agg(F.sort_array(F.collect_list(one)).alias("fields"))
+    renamed = per_step.mapInArrow(_renames, "src string, layout_id string, seq_no int, field_name string, was_name string")
     renamed = materialize(renamed, "p2-renames")
     gone_names = renamed.select(*at, F.col("was_name").alias("field"), F.lit("gone").alias("side"))
     come_names = renamed.select(*at, F.col("field_name").alias("field"), F.lit("come").alias("side"))

@@ -173,9 +173,9 @@ def normalise(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     valid = java_zones(spark)
-    parsed = parse(texts.where("text IS NOT NULL"))
-    order = materialize(_day_first(parsed), "p5-order")
-    parsed = parsed.join(broadcast_if_small(order, BROADCAST_ROWS), ["src", "grp"], "left")
+    texts = materialize(texts.where("text IS NOT NULL"), "p5-texts")  # read for the order of dates and again for all
+    order = materialize(_day_first(parse(texts.where(F.trim("text").rlike(r"^\d{1,2}/")))), "p5-order")
+    parsed = parse(texts).join(broadcast_if_small(order, BROADCAST_ROWS), ["src", "grp"], "left")
     rows = parsed.withColumn("local", F.when(F.col("slash").isNotNull() & ~F.col("day_first"), F.col("local_mdy")).otherwise(F.col("local")))
     named = F.coalesce(F.when(F.col("region").isin(*valid), F.col("region")), F.when(F.col("zone").isin(*valid), F.col("zone")))
     rows = rows.withColumn("named", named)

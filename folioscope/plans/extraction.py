@@ -198,7 +198,8 @@ _INVOICE_ROWS = ((0, "'INVOICE'", 50, 750, 100, 20), (1, "'Invoice Number:'", 50
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:
     """Invoices as spans: one document an order, moved about the page by customer."""
-    o = table(spark, d, "orders").select(
+    orders = table(spark, d, "orders").repartition("o_orderkey")  # a row becomes seven, so spread them first
+    o = orders.select(
         F.col("o_orderkey").alias("doc_id"), ((F.col("o_custkey") % 7) * 10).cast("double").alias("dx"), ((F.col("o_custkey") % 5) * 20).cast("double").alias("dy"),
         F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("inv"),
         F.format_string("%d-%02d-%02d", F.year("o_orderdate") + 25, F.month("o_orderdate"), F.day("o_orderdate")).alias("dat"),

@@ -61,3 +61,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int, counted: int | None = None)
 
     n = df.count() if counted is None else counted
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python operators find it there
+    whatever folder the job was started from. The archive is handed over by Spark's own file server."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_folioscope_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="folioscope-package-"), "folioscope_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    sc._folioscope_shipped = True

@@ -159,3 +159,13 @@ def markdown_rows(lines: DataFrame) -> DataFrame:
     cells = F.transform(F.split("line", ""), lambda c: F.when(c == "|", "\\|").otherwise(c))
     kept = F.filter(cells, lambda c: c != "")
     return lines.select("doc_id", "row_no", F.concat(F.lit("| "), F.array_join(kept, " | "), F.lit(" |")).alias("line"))
+
+
+def hit_test(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(point_id, span_idx): the first span of the document that holds a point(point_id, doc_id, x, y);
+    edges count. Points and spans meet by document and height band."""
+    band = lambda c: _band(c, BAND_Y)
+    s = spans.select("doc_id", "span_idx", "x0", "x1", "y0", "y1", F.explode(F.sequence(band(F.least("y0", "y1")), band(F.greatest("y0", "y1")))).alias("band"))
+    p = points.withColumn("band", band(F.col("y")))
+    hits = p.join(s, ["doc_id", "band"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    return hits.groupBy("point_id").agg(F.min("span_idx").alias("span_idx"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import extraction, layout, records
+from folioscope.plans import display, extraction, layout, records
 
-QUERIES = {**extraction.QUERIES, **layout.QUERIES, **records.QUERIES}
-ORACLE = {**extraction.ORACLE, **layout.ORACLE, **records.ORACLE}
+_PARTS = (extraction, layout, display, records)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import RANKS, token_count
-from folioscope.session import materialize
+from folioscope.session import broadcast_if_small, materialize
 
 #: Rows aimed at in a bucket, the unit that is sorted in one task.
 BUCKET_ROWS = 100_000
+BROADCAST_SOURCES = 100_000
 SEED = 17
 
 
@@ -51,7 +52,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     totals = materialize(totals, "p8-totals")
     rate = materialize(rates(totals, targets, total_tokens), "p8-rates")
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("rows") / BUCKET_ROWS)).cast("int")
-    per_source = totals.select("source", n_buckets.alias("n_buckets")).join(rate, "source")  # a row a source
+    per_source = materialize(totals.select("source", n_buckets.alias("n_buckets")).join(rate, "source"), "p8-sources")  # a row a source
+    per_source = broadcast_if_small(per_source, BROADCAST_SOURCES)
     h = F.xxhash64(F.lit(seed), "doc_id")
     placed = (
         docs.join(per_source, "source")

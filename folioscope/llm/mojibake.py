@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.session import materialize
+from folioscope.session import broadcast_if_small, materialize
 
 # Names of character encodings in Python's codecs.
 WRITTEN_IN = (
@@ -37,6 +37,8 @@ PARTIAL = ("cp1252", "cp1250", "cp1251")
 #: word: forms of one or two signs, which can arise by chance, and longer ones. The short ones count
 #: only under chains that also explain longer words of the corpus.
 RARITY_SHORT, RARITY = 20, 2
+#: Garbled words up to which their table is broadcast; some words are in a large part of all texts.
+BROADCAST_WORDS = 500_000
 WORD_BREAK = r"[ \t\r\n0-9]+"
 _EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 FORM_SCHEMA = "form string, word string, n_word long, chain string, rank int, strict boolean, lossless boolean"
@@ -167,8 +169,9 @@ def find_garbled(texts: DataFrame, vocabulary: DataFrame | None = None) -> DataF
     """
     occurrences = with_words(texts)
     pool = occurrences if vocabulary is None else with_words(vocabulary)
-    bad = garbled_words(pool.select("word"))
-    return occurrences.join(bad.select(F.col("form").alias("word")).distinct(), "word", "left_semi").select("src", "doc_id", "pos").distinct()
+    bad = materialize(garbled_words(pool.select("word")).select(F.col("form").alias("word")).distinct(), "p1-bad")
+    hit = occurrences.join(broadcast_if_small(bad, BROADCAST_WORDS), "word", "left_semi")
+    return hit.select("src", "doc_id", "pos").distinct()
 
 
 def repair(texts: DataFrame) -> DataFrame:

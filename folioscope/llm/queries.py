@@ -110,6 +110,18 @@ def _percentile_sql(source: str, group: str) -> str:
     """
 
 
+_SHARES = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS ws FROM documents),
+    g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+    k AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS gram FROM g),
+    f AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, gram) < i AS again FROM k),
+    c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 5)) AS word_at FROM f WHERE again),
+    n AS (SELECT doc_id, count(*) AS n_repeated FROM c GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_repeated, 0)::BIGINT AS n_repeated,
+      CASE WHEN len(ws) = 0 THEN 0.0 ELSE coalesce(n_repeated, 0)::DOUBLE / len(ws) END AS run_share
+    FROM w LEFT JOIN n USING (doc_id)
+    """
+
 ORACLE: dict[str, str] = {
     "p3_latency": _percentile_sql(
         "SELECT any_value(model) AS model, any_value(latency_ms)::DOUBLE AS x FROM llm_calls GROUP BY call_id HAVING any_value(latency_ms) >= 0",
@@ -120,15 +132,6 @@ ORACLE: dict[str, str] = {
         FROM batch_entries GROUP BY entry_id HAVING any_value(duration_ms) >= 0""",
         "layout_id, was_cached",
     ),
-    "p9_shares": r"""
-    WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS ws FROM documents),
-    g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
-    k AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS gram FROM g),
-    f AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, gram) < i AS again FROM k),
-    c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 5)) AS word_at FROM f WHERE again),
-    n AS (SELECT doc_id, count(*) AS n_repeated FROM c GROUP BY doc_id)
-    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_repeated, 0)::BIGINT AS n_repeated,
-      CASE WHEN len(ws) = 0 THEN 0.0 ELSE coalesce(n_repeated, 0)::DOUBLE / len(ws) END AS run_share
-    FROM w LEFT JOIN n USING (doc_id)
-    """,
+    "p9_shares": _SHARES,
+    "p9_found": f"SELECT DISTINCT doc_id FROM ({_SHARES}) WHERE n_words > 0 AND n_repeated >= 0.35 * n_words - 1e-9",
 }

@@ -3,7 +3,7 @@ import os
 import pytest
 
 from folioscope import cli, config
-from folioscope.operators import extract, layout, quality
+from folioscope.operators import extract, quality
 from folioscope.sources import pdf, tables
 from folioscope.streaming import watch
 

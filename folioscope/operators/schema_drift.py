@@ -29,6 +29,8 @@ VALUE_BUCKETS = 64
 ACCEPT = 0.95
 #: Sketches below this likeness rule out a match of names that aren't alike either.
 UNLIKE = 0.42
+#: The same where the two names take turns in many layouts.
+UNLIKE_AT_ALL = 0.2
 #: Taken off when a number is written as text on one side: sketches say nothing then.
 RETYPED = 0.3
 #: Share of the expected versions with both names from which the names count as different things.
@@ -226,7 +228,8 @@ def score(name: float, values: float | None, together: int, expected: float, lay
         side = -2.0 * min(1.0, lift / 0.5)
     else:
         side = 0.2 + 0.5 * min(1.0, expected / 4) + (0.6 * (shared / layouts - 0.5) if layouts >= 3 else 0.0)
-    if values is not None and values < UNLIKE and name < 0.3:
+    certain = lift < LIFT and expected >= 3 and shared >= 0.8 * layouts
+    if values is not None and values < (UNLIKE_AT_ALL if certain else UNLIKE) and name < 0.3:
         return 0.0
     return name * 0.9 + (0.35 if values is None else values * 0.7) + side
 

@@ -37,8 +37,10 @@ PARTIAL = ("cp1252", "cp1250", "cp1251")
 #: word: forms of one or two signs, which can arise by chance, and longer ones. The short ones count
 #: only under chains that also explain longer words of the corpus.
 RARITY_SHORT, RARITY = 20, 2
-#: Garbled words up to which their table is broadcast; some words are in a large part of all texts.
+#: Words up to which a table of words is broadcast; some words are in a large part of all texts.
 BROADCAST_WORDS = 500_000
+#: Words whose forms one task makes.
+WORDS_A_TASK = 5_000
 WORD_BREAK = r"[ \t\r\n0-9]+"
 _EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 FORM_SCHEMA = "form string, word string, n_word long, chain string, rank int, strict boolean, lossless boolean"
@@ -137,8 +139,11 @@ def garbled_words(words: DataFrame) -> DataFrame:
     size follows the number of distinct damaged words, not the number of texts.
     """
     counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "p1-words")
-    forms = counts.select("word", "n").mapInArrow(_forms, FORM_SCHEMA)
-    seen = counts.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
+    n_words = counts.count()
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, n_words // WORDS_A_TASK)
+    # a word has hundreds of forms: spread the words, and meet the few forms that occur where they are made
+    forms = counts.select("word", "n").repartition(tasks, "word").mapInArrow(_forms, FORM_SCHEMA)
+    seen = broadcast_if_small(counts.select(F.col("word").alias("form"), F.col("n").alias("n_form")), BROADCAST_WORDS, n_words)
     hits = forms.join(seen, "form").where(
         F.col("strict")
         | (F.col("n_form") * F.when(F.length("form") <= 2, RARITY_SHORT).otherwise(RARITY) <= F.col("n_word"))

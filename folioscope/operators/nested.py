@@ -4,7 +4,8 @@ A bottom-up tree automaton reads every JSON value: scalars have a leaf state, an
 its elements' states, an object the state of its sorted ``key:child state`` pairs. Objects of one
 field path and state form a structural variant. Each variant is routed to a typed subtype table;
 the keys that all variants of a path share make up its supertype table. Every object keeps its own
-path and that of its parent, so nothing is lost and rows can be joined back.
+path and that of its parent, so nothing is lost and rows can be joined back. States follow the JSON as
+written: an object alone in a field has another state than an array that holds it.
 
 An object alone in a field that elsewhere holds an array is that array's element 0. Which fields
 do is known only after all rows were read, so paths leave the one pass over the JSON with an open
@@ -35,15 +36,17 @@ _LEAF = {str: "s", int: "n", float: "n", bool: "b", type(None): "0"}
 class Walker:
     """Reads records and gathers their objects: lists of columns, flushed by the caller."""
 
-    def __init__(self, values: bool):
-        self.values = values
+    def __init__(self, values: bool, keys: bool):
+        self.values, self.with_keys = values, keys
         self.states: dict[tuple, str] = {}
+        self.keys_of: dict[str, list[str]] = {}
         self.arrays: set[tuple[str, str]] = set()
         self.src = ""
         self.reset()
 
     def reset(self) -> None:
-        self.path, self.parent, self.field, self.state, self.lone, self.deps, self.vals, self.at = [], [], [], [], [], [], [], []
+        self.path, self.parent, self.field, self.state, self.lone, self.deps = [], [], [], [], [], []
+        self.keys, self.vals, self.at = [], [], []
 
     def name_of(self, shape: tuple) -> str:
         name = self.states.get(shape)
@@ -61,7 +64,7 @@ class Walker:
         elif type(value) is list:
             self.array(at, value, "", "", "", None)
 
-    def object(self, at: int, obj: dict, path: str, parent: str | None, field: str, lone: bool, deps: list | None) -> None:
+    def object(self, at: int, obj: dict, path: str, parent: str | None, field: str, lone: bool, deps: list | None) -> str:
         slot = len(self.path)
         self.at.append(at)
         self.path.append(path)
@@ -71,6 +74,7 @@ class Walker:
         self.deps.append(deps)
         self.state.append(None)
         kept = {} if self.values else None
+        self.keys.append(None)
         self.vals.append(None)
         shape = []
         for key, v in obj.items():
@@ -92,28 +96,32 @@ class Walker:
                 if kept is not None and not any(type(x) in (dict, list) for x in v):
                     kept[key] = json.dumps(v)
             else:
-                shape.append((key, "o"))
-                self.object(at, v, sub + OPEN, path, sub_field, True, [*(deps or ()), sub_field])
+                shape.append((key, self.object(at, v, sub + OPEN, path, sub_field, True, [*(deps or ()), sub_field])))
         shape.sort()
-        self.state[slot] = self.name_of(tuple(shape))
+        state = self.state[slot] = self.name_of(tuple(shape))
         if kept is not None:
             self.vals[slot] = list(kept.items())
+        if self.with_keys:
+            keys = self.keys_of.get(state)
+            if keys is None:
+                keys = self.keys_of[state] = sorted({key for key, _ in shape})
+            self.keys[slot] = keys
+        return state
 
     def array(self, at: int, items: list, path: str, parent: str, field: str, deps: list | None) -> str:
         self.arrays.add((self.src, field))
-        kinds = set()
+        states = set()
         for i, v in enumerate(items):
             if type(v) is dict:
-                kinds.add("o")
-                self.object(at, v, f"{path}[{i}]", parent, field, False, deps)
+                states.add(self.object(at, v, f"{path}[{i}]", parent, field, False, deps))
                 continue
             if type(v) is str and v[:1] in "[ \n\t" and v:
                 v = _array_in(v) or v
             if type(v) is list:
-                kinds.add(self.array(at, v, f"{path}[{i}]", parent, field, deps))
+                states.add(self.array(at, v, f"{path}[{i}]", parent, field, deps))
             else:
-                kinds.add(_LEAF[type(v)])
-        return f"a({''.join(sorted(kinds))})"
+                states.add(_LEAF[type(v)])
+        return self.name_of(("[", *sorted(states)))
 
 
 def _clean(key: str) -> str:
@@ -132,22 +140,22 @@ def _array_in(text: str) -> list | None:
     return value if type(value) is list else None
 
 
-def _reader(values: bool):
+def _reader(values: bool, keys: bool):
     schema = pa.schema(
         [("src", pa.string()), ("ref_id", pa.int64()), ("path", pa.string()), ("parent", pa.string()), ("field", pa.string()),
-         ("state", pa.string()), ("lone", pa.bool_()), ("deps", pa.list_(pa.string())), ("vals", pa.map_(pa.string(), pa.string()))]
+         ("state", pa.string()), ("lone", pa.bool_()), ("deps", pa.list_(pa.string())), ("keys", pa.list_(pa.string())), ("vals", pa.map_(pa.string(), pa.string()))]
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEPEST)
-        w, told = Walker(values), set()
+        w, told = Walker(values, keys), set()
 
         def gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = pa.array(w.at, pa.int32())
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(w.path, pa.string()), pa.array(w.parent, pa.string()),
                  pa.array(w.field, pa.string()), pa.array(w.state, pa.string()), pa.array(w.lone, pa.bool_()),
-                 pa.array(w.deps, pa.list_(pa.string())), pa.array(w.vals, pa.map_(pa.string(), pa.string()))],
+                 pa.array(w.deps, pa.list_(pa.string())), pa.array(w.keys, pa.list_(pa.string())), pa.array(w.vals, pa.map_(pa.string(), pa.string()))],
                 schema=schema,
             )
             w.reset()
@@ -168,14 +176,14 @@ def _reader(values: bool):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in new], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()),
                      pa.array([f for _, f in new], pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.string())),
-                     pa.nulls(n, pa.map_(pa.string(), pa.string()))],
+                     pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.map_(pa.string(), pa.string()))],
                     schema=schema,
                 )
 
     return read
 
 
-_READ = "src string, ref_id long, path string, parent string, field string, state string, lone boolean, deps array<string>, vals map<string,string>"
+_READ = "src string, ref_id long, path string, parent string, field string, state string, lone boolean, deps array<string>, keys array<string>, vals map<string,string>"
 
 
 def _resolved(path: Column, deps: Column, arrays: Column) -> Column:
@@ -189,32 +197,32 @@ def _resolved(path: Column, deps: Column, arrays: Column) -> Column:
     )
 
 
-def read_objects(records: DataFrame, values: bool = True) -> DataFrame:
+def read_objects(records: DataFrame, values: bool = True, keys: bool = True) -> DataFrame:
     """All objects of records(src, ref_id, fields_json): (src, ref_id, node_path, parent_path, field,
-    state, is_element, vals).
+    state, is_element, keys, vals).
 
     ``node_path`` is '' for the record itself; ``parent_path`` is that of the enclosing object and
     null for the record; ``field`` is the path without positions; ``is_element`` tells elements of
-    arrays from objects that stand alone everywhere; ``vals`` has the JSON text of each scalar and of
-    each array of scalars. Null and unreadable JSON gives nothing; a key that occurs twice counts
+    arrays from objects that stand alone everywhere; ``keys`` has all keys of the object (null without ``keys``); ``vals`` has the JSON text of each scalar and of
+    each array of scalars (null without ``values``). Null and unreadable JSON gives nothing; a key that occurs twice counts
     with its last value; the same src and ref_id delivered twice counts once.
     """
     one = records.select("src", F.col("ref_id").cast("long").alias("ref_id"), "fields_json").where("fields_json IS NOT NULL AND ref_id IS NOT NULL")
     one = one.dropDuplicates(["src", "ref_id"])
-    read = one.mapInArrow(_reader(values), _READ)
+    read = one.mapInArrow(_reader(values, keys), _READ)
     read = materialize(read, "p4-objects")
     arrays = read.where("ref_id IS NULL").groupBy("src").agg(F.collect_set("field").alias("arrays"))
     objects = read.where("ref_id IS NOT NULL")
     plain = objects.where("deps IS NULL").select(
         "src", "ref_id", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "field", "state",
-        ((~F.col("lone")) & (F.col("path") != "")).alias("is_element"), "vals",
+        ((~F.col("lone")) & (F.col("path") != "")).alias("is_element"), "keys", "vals",
     )
     marked = objects.where("deps IS NOT NULL").join(arrays, "src", "left")
     known = F.coalesce("arrays", F.array().cast("array<string>"))
     marked = marked.select(
         "src", "ref_id", _resolved(F.col("path"), F.col("deps"), known).alias("node_path"),
         _resolved(F.col("parent"), F.col("deps"), known).alias("parent_path"), "field", "state",
-        (~F.col("lone") | F.array_contains(known, F.col("field"))).alias("is_element"), "vals",
+        (~F.col("lone") | F.array_contains(known, F.col("field"))).alias("is_element"), "keys", "vals",
     )
     return plain.unionByName(marked)
 
@@ -225,21 +233,22 @@ def elements(objects: DataFrame) -> DataFrame:
 
 def variants(objects: DataFrame) -> DataFrame:
     """(src, field, state, n, keys): the structural variants of each field path and their keys."""
-    return objects.groupBy("src", "field", "state").agg(
-        F.count("*").alias("n"), F.sort_array(F.map_keys(F.first("vals"))).alias("keys")
-    )
+    return objects.groupBy("src", "field", "state").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
 
 
 def supertypes(objects: DataFrame) -> DataFrame:
     """(src, field, n, n_variants, common_keys, all_keys): what the variants of a field share."""
-    v = variants(objects)
-    return v.groupBy("src", "field").agg(
-        F.sum("n").alias("n"), F.count("*").alias("n_variants"),
-        F.sort_array(
-            F.aggregate(F.collect_list("keys"), F.flatten(F.collect_list("keys")), lambda acc, k: F.array_intersect(acc, k))
-        ).alias("common_keys"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("all_keys"),
+    # counted by key, the null key for the variant itself: no field's variants are gathered in one row
+    none = F.array(F.lit(None).cast("string"))
+    each = variants(objects).select("src", "field", "n", F.explode(F.concat(none, "keys")).alias("key"))
+    each = each.groupBy("src", "field", "key").agg(F.sum("n").alias("n"), F.count("*").alias("n_variants"))
+    own = F.col("key").isNull()
+    per = each.groupBy("src", "field").agg(
+        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("n_variants"))).alias("n_variants"),
+        F.sort_array(F.collect_list(F.when(~own, F.struct("key", F.col("n_variants").alias("held"))))).alias("per"),
     )
+    common = F.filter("per", lambda p: p["held"] == F.col("n_variants"))
+    return per.select("src", "field", "n", "n_variants", common["key"].alias("common_keys"), F.col("per")["key"].alias("all_keys"))
 
 
 def flat_table(objects: DataFrame, src: str, field: str, columns: dict[str, str], state: str | None = None) -> DataFrame:

@@ -18,32 +18,32 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(table(spark, d, "extracted_records"), p2_found(spark, d))
 
 
-def _objects(spark: SparkSession, d: str, values: bool) -> DataFrame:
+def _objects(spark: SparkSession, d: str, values: bool, keys: bool) -> DataFrame:
     records = nested.json_records(table(spark, d, "extracted_records"), table(spark, d, "batch_entries"))
-    return nested.read_objects(records, values)
+    return nested.read_objects(records, values, keys)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.elements(_objects(spark, d, values=False))
+    return nested.elements(_objects(spark, d, values=False, keys=False))
 
 
 def p4_variants(spark: SparkSession, d: str) -> DataFrame:
-    return nested.variants(_objects(spark, d, values=True))
+    return nested.variants(_objects(spark, d, values=False, keys=True))
 
 
 def p4_supertypes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.supertypes(_objects(spark, d, values=True))
+    return nested.supertypes(_objects(spark, d, values=False, keys=True))
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
     """Every object with its parent: what the flat tables are joined by."""
-    return _objects(spark, d, values=False).select("src", "ref_id", "field", "node_path", "parent_path", "is_element")
+    return _objects(spark, d, values=False, keys=False).select("src", "ref_id", "field", "node_path", "parent_path", "is_element")
 
 
 def p4_items(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of the records' line items."""
     columns = {"description": "string", "qty": "bigint", "unit_price": "double", "amount": "double"}
-    out = nested.flat_table(_objects(spark, d, values=True), "record", "items", columns)
+    out = nested.flat_table(_objects(spark, d, values=True, keys=False), "record", "items", columns)
     return out.withColumn("rest", F.to_json("rest"))
 
 

@@ -116,3 +116,16 @@ def test_states_follow_shape(spark):
     rows = [("r", i, t, None) for i, t in enumerate(['{"a":1,"b":"x"}', '{"b":"y","a":2.5}', '{"a":"1","b":"x"}', '{"a":1}'])]
     s = {r.ref_id: r.state for r in read(spark, rows).where(F.col("node_path") == "").collect()}
     assert s[0] == s[1] and len(set(s.values())) == 3
+
+
+def test_states_follow_children(spark):
+    """Same keys on top, another shape two levels down, behind objects and arrays."""
+    texts = ['{"a":{"b":{"c":1}},"i":[{"t":[{"x":1}]}]}', '{"a":{"b":{"c":"1"}},"i":[{"t":[{"x":1}]}]}', '{"a":{"b":{"c":2}},"i":[{"t":[{"y":1}]}]}', '{"a":{"b":{"c":3}},"i":[{"t":[{"x":2}]},{"t":[{"x":3},{"x":4}]}]}']
+    objects = read(spark, [("r", i, t, None) for i, t in enumerate(texts)], values=True)
+    s = {r.ref_id: r.state for r in objects.where("node_path = ''").collect()}
+    assert s[0] == s[3] and len(set(s.values())) == 3
+    v = {(r.field, tuple(r.keys)): r.n for r in nested.variants(objects).where("field = ''").collect()}
+    assert set(v) == {("", ("a", "i"))}
+    up = {r.field: r for r in nested.supertypes(objects).collect()}
+    assert up[""].n == 4 and up[""].n_variants == 3 and up[""].common_keys == up[""].all_keys == ["a", "i"]
+    assert up["i.t"].common_keys == [] and up["i.t"].all_keys == ["x", "y"]

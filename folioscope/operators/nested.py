@@ -93,8 +93,8 @@ class Walker:
             sub, sub_field = (f"{path}.{key}", f"{field}.{key}") if path else (key, f"{field}.{key}" if field else key)
             if type(v) is list:
                 shape.append((key, self.array(at, v, sub, path, sub_field, deps)))
-                if kept is not None and not any(type(x) in (dict, list) for x in v):
-                    kept[key] = json.dumps(v)
+                if kept is not None and not (v and _only_objects(v)):
+                    kept[key] = json.dumps(_hollow(v))
             else:
                 shape.append((key, self.object(at, v, sub + OPEN, path, sub_field, True, [*(deps or ()), sub_field])))
         shape.sort()
@@ -124,6 +124,16 @@ class Walker:
         return self.name_of(("[", *sorted(states)))
 
 
+def _only_objects(items: list) -> bool:
+    """Whether the array can be built again from the paths of its objects."""
+    return all(type(x) is dict or (type(x) is list and x and _only_objects(x)) for x in items)
+
+
+def _hollow(v):
+    """Objects have rows of their own and leave an empty one in their place."""
+    return {} if type(v) is dict else [_hollow(x) for x in v] if type(v) is list else v
+
+
 def _clean(key: str) -> str:
     """Half surrogates can't be written as UTF-8, and the mark is ours."""
     return key.encode("utf-8", "replace").decode().replace(OPEN, "?")
@@ -204,7 +214,7 @@ def read_objects(records: DataFrame, values: bool = True, keys: bool = True) ->
     ``node_path`` is '' for the record itself; ``parent_path`` is that of the enclosing object and
     null for the record; ``field`` is the path without positions; ``is_element`` tells elements of
     arrays from objects that stand alone everywhere; ``keys`` has all keys of the object (null without ``keys``); ``vals`` has the JSON text of each scalar and of
-    each array of scalars (null without ``values``). Null and unreadable JSON gives nothing; a key that occurs twice counts
+    each array that holds anything but objects, ``{}`` standing for those (null without ``values``). Null and unreadable JSON gives nothing; a key that occurs twice counts
     with its last value; the same src and ref_id delivered twice counts once.
     """
     one = records.select("src", F.col("ref_id").cast("long").alias("ref_id"), "fields_json").where("fields_json IS NOT NULL AND ref_id IS NOT NULL")
@@ -251,6 +261,13 @@ def supertypes(objects: DataFrame) -> DataFrame:
     return per.select("src", "field", "n", "n_variants", common["key"].alias("common_keys"), F.col("per")["key"].alias("all_keys"))
 
 
+def flat_tables(objects: DataFrame) -> DataFrame:
+    """The flat tables of every field and variant, one below the other: (src, field, state, ref_id,
+    node_path, parent_path, is_element, vals). ``vals`` holds nulls and empty arrays too, so with the
+    paths all values of the records' objects are here."""
+    return objects.select("src", "field", "state", "ref_id", "node_path", "parent_path", "is_element", "vals")
+
+
 def flat_table(objects: DataFrame, src: str, field: str, columns: dict[str, str], state: str | None = None) -> DataFrame:
     """The table of one field (or of one variant of it): (ref_id, node_path, parent_path, columns...).
     ``columns`` maps keys to SQL types; values that don't fit the type are null here and stay in

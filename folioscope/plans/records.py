@@ -40,6 +40,11 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return _objects(spark, d, values=False, keys=False).select("src", "ref_id", "field", "node_path", "parent_path", "is_element")
 
 
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of records and batch entries with its values, by field and variant."""
+    return nested.flat_tables(_objects(spark, d, values=True, keys=False))
+
+
 def p4_items(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of the records' line items."""
     columns = {"description": "string", "qty": "bigint", "unit_price": "double", "amount": "double"}
@@ -62,6 +67,6 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_items, p5_found, p5_instants)
+    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p5_found, p5_instants)
 }
 ORACLE: dict[str, str] = {}

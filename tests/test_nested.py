@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from folioscope.operators import nested
+from folioscope.plans import records as records_plan
 from folioscope.session import table
 
 
@@ -129,3 +130,44 @@ def test_states_follow_children(spark):
     up = {r.field: r for r in nested.supertypes(objects).collect()}
     assert up[""].n == 4 and up[""].n_variants == 3 and up[""].common_keys == up[""].all_keys == ["a", "i"]
     assert up["i.t"].common_keys == [] and up["i.t"].all_keys == ["x", "y"]
+
+
+def test_flat_tables_hold_all_values(spark):
+    text = '{"a":[1,{"b":null},[{"c":"x"},2]],"g":[[1,2],[]],"e":[],"o":[[{"k":true}]],"t":{"u":{"v":0.5}}}'
+    objects = read(spark, [("r", 1, text, None)], values=True)
+    got = {r.node_path: {k: json.loads(v) for k, v in r.vals.items()} for r in nested.flat_tables(objects).collect()}
+    assert got == {
+        "": {"a": [1, {}, [{}, 2]], "g": [[1, 2], []], "e": []}, "a[1]": {"b": None}, "a[2][0]": {"c": "x"},
+        "o[0][0]": {"k": True}, "t": {}, "t.u": {"v": 0.5},
+    }
+
+
+def test_flat_tables_of_whole_tables(spark, sf):
+    """As many scalars of every field come out as there are in the JSON of both sources."""
+    def scalars(v, field, out):
+        if isinstance(v, str) and v.lstrip()[:1] == "[":
+            try:
+                v = json.loads(v)
+            except ValueError:
+                pass
+        if isinstance(v, dict):
+            for k, x in v.items():
+                scalars(x, f"{field}.{k}" if field else k, out)
+        elif isinstance(v, list):
+            for x in v:
+                scalars(x, field, out)
+        else:
+            out[field] = out.get(field, 0) + 1
+
+    want, got = {}, {}
+    records = nested.json_records(table(spark, sf, "extracted_records"), table(spark, sf, "batch_entries"))
+    for text in {(r.src, r.ref_id): r.fields_json for r in records.collect()}.values():
+        try:
+            v = json.loads(text)
+        except (ValueError, TypeError):
+            continue
+        scalars(v, "", want)
+    for r in records_plan.p4_tables(spark, sf).collect():
+        for k, v in r.vals.items():
+            scalars(json.loads(v), f"{r.field}.{k}" if r.field else k, got)
+    assert got == want and len(got) > 50

@@ -411,39 +411,133 @@ def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
     return rest.unionByName(retyped).unionByName(renamed.withColumn("change_kind", F.lit("renamed")))
 
 
-def _latest_names(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow renames in order: a field has, from the step after its own on, the name it ended with."""
-    latest: dict[str, str] = {}
-    for r in pdf.sort_values("seq_no").itertuples():
-        for old, name in list(latest.items()):
-            if name == r.was_name:
-                latest[old] = r.field_name
-        latest[r.was_name] = r.field_name
-        latest.pop(r.field_name, None)
-    return pd.DataFrame([(key[0], a, b) for a, b in latest.items()], columns=["layout_id", "was_name", "now_name"])
+class _Number(str):
+    """A number as written."""
+
+
+def _text(v) -> str:
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{_text(k)}:{_text(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_text, v)) + "]"
+    if isinstance(v, _Number):
+        return str(v)
+    if isinstance(v, str):
+        return json.dumps(v, ensure_ascii=any("\ud800" <= c <= "\udfff" for c in v))
+    return json.dumps(v)
+
+
+class Renamer:
+    """The renames of one layout from one file on: ``steps`` maps old to new paths, step by step."""
+
+    def __init__(self, steps: list[dict[str, str]]):
+        self.steps = steps
+        self.latest: dict[str, str] = {}
+        self.leads: set[str] = set()
+        # paths that lead to a renamed one
+        self.inner = {name.rsplit(".", n)[0] for step in steps for name in [*step, *step.values()] for n in range(1, name.count(".") + 1)}
+
+    def latest_of(self, path: str) -> str:
+        """The path after all steps: its own renames and, where there is none, those of what it lies in."""
+        now = self.latest.get(path)
+        if now is None:
+            now = path
+            for step in self.steps:
+                if now in self.inner:
+                    self.leads.add(path)
+                head, tail = now, ""
+                while head not in step and "." in head:
+                    head = head.rpartition(".")[0]
+                    tail = now[len(head) :]
+                now = step.get(head, head) + tail if head in step else now
+            self.latest[path] = now
+        return now
+
+    def leads_on(self, path: str) -> bool:
+        """Whether anything below is renamed while the path has one of its names."""
+        self.latest_of(path)
+        return path in self.leads
+
+    def fields(self, pairs: list[tuple[str, object]], path: str) -> list[tuple[str, object]]:
+        """An object's fields under their latest names. Of an old and a new name that are both there
+        the filled one has the name; if both are, the old one keeps its own."""
+        prefix = f"{path}." if path else ""
+        ahead = f"{self.latest_of(path)}." if path else ""
+        own: dict[str, object] = {}
+        for key, v in pairs:
+            if own.get(key) is None:
+                own[key] = v
+        new = {}
+        for key in own:
+            name = self.latest_of(prefix + key)
+            new[key] = name[len(ahead) :] if name.startswith(ahead) else key
+        while True:
+            taken: dict[str, str] = {}
+            back = []
+            for key in sorted(own, key=lambda k: (own[k] is None, new[k] != k)):
+                holder = taken.setdefault(new[key], key)
+                if holder != key and own[key] is not None:
+                    back.append(key)
+            if not back:
+                break
+            for key in back:
+                new[key] = key
+        return [(new[key], v) for key, v in own.items() if taken[new[key]] == key]
+
+    def value(self, v, path: str):
+        """A parsed value whose objects have their latest names, at any depth."""
+        if not self.leads_on(path):
+            return v
+        if isinstance(v, list):
+            return [self.value(x, path) for x in v]
+        if isinstance(v, dict):
+            return dict(self.fields([(k, self.value(x, f"{path}.{k}")) for k, x in v.items()], path))
+        return v
+
+    def top(self, pairs: list[tuple[str, str | None]]) -> list[tuple[str, str | None]]:
+        out = []
+        for key, text in pairs:
+            if text is not None and text[:1] in ("{", "[") and self.leads_on(key):
+                try:
+                    text = _text(self.value(json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number), key))
+                except (ValueError, RecursionError):
+                    pass
+            out.append((key, text))
+        return self.fields(out, "")
+
+
+def _rename_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(100_000)
+    known: dict[tuple, Renamer] = {}
+    for batch in batches:
+        out = []
+        for layout, no, steps, raw in zip(*(batch.column(c) for c in ("layout_id", "file_no", "steps", "raw"))):
+            pairs = raw.as_py()
+            if pairs is not None:
+                at = (layout.as_py(), no.as_py())
+                if at not in known:
+                    by_no: dict[int, dict[str, str]] = defaultdict(dict)
+                    for s in steps.as_py() or ():
+                        if at[1] is None or s["seq_no"] > at[1]:
+                            by_no[s["seq_no"]][s["was_name"]] = s["field_name"]
+                    known[at] = Renamer([by_no[k] for k in sorted(by_no)])
+                pairs = known[at].top(pairs)
+            out.append(pairs)
+        names = ["record_id", "layout_id", "file_no", "fields"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(out, pa.map_(pa.string(), pa.string()))], names=names)
 
 
 def unify(records: DataFrame, all_changes: DataFrame) -> DataFrame:
     """One consistent table: (record_id, layout_id, file_no, fields), each record once, ``fields``
-    a map from the latest name of each top-level field to its value as JSON text or plain string.
-    Unreadable records keep a null map."""
-    renames = all_changes.where("src = 'record' AND change_kind = 'renamed' AND NOT contains(field_name, '.')")
-    names = renames.select("layout_id", "seq_no", "field_name", "was_name").groupBy("layout_id").applyInPandas(
-        _latest_names, "layout_id string, was_name string, now_name string"
-    )
-    per_layout = names.groupBy("layout_id").agg(F.map_from_entries(F.collect_list(F.struct("was_name", "now_name"))).alias("names"))
-    one = records.dropDuplicates(["record_id"]).withColumn("raw", F.from_json("fields_json", "map<string,string>"))
-    readable = F.try_parse_json("fields_json").isNotNull()
-    out = one.join(per_layout, "layout_id", "left")
-    entries = F.transform(
-        F.map_entries("raw"),
-        lambda e: F.struct(F.coalesce(F.col("names")[e["key"]], e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    # old and new name in one record: the filled one wins
-    ordered = F.array_sort(entries, lambda a, b: a["value"].isNull().cast("int") - b["value"].isNull().cast("int"))
-    first = F.aggregate(
-        ordered,
-        F.create_map().cast("map<string,string>"),
-        lambda acc, e: F.when(F.map_contains_key(acc, e["key"]), acc).otherwise(F.map_concat(acc, F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))),
-    )
-    return out.select("record_id", "layout_id", "file_no", F.when(readable, first).alias("fields"))
+    a map from the latest name of each top-level field to its value as JSON text or plain string;
+    fields inside objects and arrays have their latest names in that text. A rename holds for the
+    files before its step; records without file_no count as before all of them. Unreadable records
+    keep a null map."""
+    renames = all_changes.where("src = 'record' AND change_kind = 'renamed'")
+    steps = F.sort_array(F.collect_list(F.struct("seq_no", "was_name", "field_name"))).alias("steps")
+    per_layout = renames.groupBy("layout_id").agg(steps)
+    raw = F.when(F.try_parse_json("fields_json").isNotNull(), F.from_json("fields_json", "map<string,string>"))
+    one = records.dropDuplicates(["record_id"]).select("record_id", "layout_id", "file_no", raw.alias("raw"))
+    kinds = dict(one.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("record_id", "layout_id", "file_no")) + ", fields map<string,string>"
+    return one.join(per_layout, "layout_id", "left").select("record_id", "layout_id", "file_no", "raw", "steps").mapInArrow(_rename_records, schema)

@@ -78,3 +78,19 @@ def test_odd_values(spark):
     m, r = frames(spark, [], recs)
     got = sorted((x.field_name, x.change_kind) for x in D.changes(m, r).collect())
     assert ("d.e", "removed") in got and ("g.h.i", "added") in got and ("f", "removed") in got
+
+
+def test_unify_renames_at_every_depth_and_by_file(spark):
+    steps = [("record", "L", 2, "grand", "total", "renamed"), ("record", "L", 3, "items.amt", "items.amount", "renamed"), ("record", "L", 4, "lines", "items", "renamed"),
+             ("record", "L", 4, "lines.tax.pct", "items.tax.rate", "renamed"), ("record", "L", 5, "lines.tax.percent", "lines.tax.pct", "renamed"),
+             ("record", "L", 6, "rows", "lines", "renamed"), ("record", "L", 3, "total", "", "added")]
+    texts = [(1, 1, '{"total":1.50,"items":[{"amount":1.25,"tax":[{"rate":7}]},[{"amount":2}]],"x":{"amount":1}}'), (2, 2, '{"total":"again","grand":2,"items":{"amount":3}}'),
+             (3, 1, '{"total":1,"grand":2}'), (4, 1, '{"total":1,"grand":null,"items":[{"amount":1,"amt":2},{"amount":null,"amt":3}]}'), (5, 4, '{"items":[{"amount":1}],"total":1}')]
+    records = spark.createDataFrame([(i, "L", no, text) for i, no, text in texts], "record_id long, layout_id string, file_no int, fields_json string")
+    found = spark.createDataFrame(steps, "src string, layout_id string, seq_no int, field_name string, was_name string, change_kind string")
+    got = {r.record_id: r.fields for r in D.unify(records, found).collect()}
+    assert got[1] == {"grand": got[1]["grand"], "rows": '[{"amt":1.25,"tax":[{"percent":7}]},[{"amt":2}]]', "x": '{"amount":1}'}
+    assert got[2] == {"total": "again", "grand": "2", "rows": '{"amt":3}'}
+    assert got[3] == {"total": "1", "grand": "2"}
+    assert got[4] == {"grand": "1", "rows": '[{"amount":1,"amt":2},{"amt":3}]'}
+    assert got[5] == {"items": '[{"amount":1}]', "total": "1"}

@@ -109,6 +109,15 @@ def union_table(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
     return fields.groupBy("doc_id").pivot("field", names).agg(F.first("value"))
 
 
+def union_records(records_: DataFrame) -> DataFrame:
+    """records(doc_id, fields_json) as one wide table over the union of all top-level keys, in order;
+    each readable record once, also where it has no value."""
+    one = records_.where(F.try_parse_json("fields_json").isNotNull()).dropDuplicates(["doc_id"])
+    one = materialize(one.select("doc_id", F.from_json("fields_json", "map<string,string>").alias("fields")), "union-records")
+    fields = one.select("doc_id", F.explode("fields").alias("field", "value"))
+    return one.select("doc_id").join(union_table(fields), "doc_id", "left")
+
+
 def json_columns(values: DataFrame, json_col: str, columns: list[str]) -> DataFrame:
     """The listed keys of JSON objects as text columns; missing and null are null."""
     whole = F.when(F.try_parse_json(json_col).isNotNull(), F.col(json_col))

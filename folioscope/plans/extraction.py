@@ -351,6 +351,12 @@ def records_union(spark: SparkSession, d: str) -> DataFrame:
     return extract.union_table(f.select("doc_id", "f.*").where("value IS NOT NULL"), _KINDS)
 
 
+@query()
+def records_union_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All readable records in one table over the union of all their top-level fields."""
+    return extract.union_records(table(spark, d, "extracted_records").select(F.col("record_id").alias("doc_id"), "fields_json"))
+
+
 @query(
     """WITH r AS (SELECT DISTINCT record_id, fields_json::JSON AS j FROM extracted_records WHERE json_valid(fields_json)),
     p AS (SELECT record_id, list_filter(['invoice_number', 'date', 'total'], lambda k: NOT list_contains(json_keys(j), k)) AS miss, [j->>'$.invoice_number', j->>'$.date', j->>'$.total'] AS v FROM r)

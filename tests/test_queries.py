@@ -28,3 +28,12 @@ def test_entry_and_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "extract_invoice" in e.queries()
+
+
+def test_records_union_holds_all_fields_and_records(spark):
+    from folioscope.operators import extract
+
+    rows = [(1, '{"a":1,"b":{"c":[2]}}'), (1, '{"a":1,"b":{"c":[2]}}'), (2, '{"d":"x"}'), (3, "{}"), (4, '{"e":null}'), (5, '{"cut'), (6, None)]
+    got = extract.union_records(spark.createDataFrame(rows, "doc_id long, fields_json string"))
+    assert got.columns == ["doc_id", "a", "b", "d", "e"]
+    assert sorted(map(tuple, got.collect())) == [(1, "1", '{"c":[2]}', None, None), (2, None, None, "x", None), (3, None, None, None, None), (4, None, None, None, None)]

@@ -95,6 +95,13 @@ def layout_notes(spark: SparkSession, d: str) -> DataFrame:
     return display.layout_notes(rows.key_values(s), none, rows.table_columns(s.limit(0)))
 
 
+@query()
+def layout_notes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of the documents' pairs, transaction columns and table columns."""
+    s = _spans(spark, d)
+    return display.layout_notes(rows.key_values(s), rows.transaction_columns(s), rows.table_columns(s))
+
+
 @query()
 def mean_field_scores(spark: SparkSession, d: str) -> DataFrame:
     s = field_scores(spark, d)

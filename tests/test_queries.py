@@ -37,3 +37,9 @@ def test_records_union_holds_all_fields_and_records(spark):
     got = extract.union_records(spark.createDataFrame(rows, "doc_id long, fields_json string"))
     assert got.columns == ["doc_id", "a", "b", "d", "e"]
     assert sorted(map(tuple, got.collect())) == [(1, "1", '{"c":[2]}', None, None), (2, None, None, "x", None), (3, None, None, None, None), (4, None, None, None, None)]
+
+
+def test_layout_notes_whole_has_all_sections(spark, sf):
+    notes = [r.notes for r in catalogue.QUERIES["layout_notes_whole"](spark, sf).collect()]
+    for title in ("key_value_pairs:", "transaction_columns:", "table_columns:"):
+        assert any(n.startswith(title) or f"\n\n{title}" in n for n in notes)

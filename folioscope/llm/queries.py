@@ -62,6 +62,12 @@ def p6_labels(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("canonical").agg(F.count("*").alias("n_rows"), F.countDistinct("text").alias("n_written"))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of spans and anchors with its one form."""
+    texts = _labels(spark, d).select("src", "doc_id", "pos", "text").distinct()
+    return confusables.normalise(texts).select("src", "doc_id", "pos", "text", "canonical")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -95,7 +101,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_restored, p3_latency, p3_duration, p3_days, p3_combined, p6_found, p6_labels,
+        p1_found, p1_restored, p3_latency, p3_duration, p3_days, p3_combined, p6_found, p6_labels, p6_texts,
         p7_found, p7_items, p8_sample, p8_shares, p9_found, p9_shares,
     )
 }

@@ -65,4 +65,52 @@ def test_alignment():
     assert used == 2 and 38 <= held <= 44
     held, used = K.held_words(item, item[30:50] + words(50) + item[:20])
     assert used == 1
-    assert K._like("invoice", "invoce") and K._like("total", "totol") and not K._like("abc", "abd") and not K._like("total", "tutil")
+    assert K.is_like("invoice", "invoce") and K.is_like("total", "totol") and not K.is_like("abc", "abd") and not K.is_like("total", "tutil")
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in K.find_leaks(d, e).collect()}
+
+
+def test_many_halves_and_a_few_wholes(spark):
+    half = {i: words(30) + ITEMS[0][:30] + words(30) for i in range(30)}
+    assert found(spark, half, ITEMS) == {(i, 0) for i in half}
+    whole = {100 + i: words(30) + ITEMS[0] + words(30) for i in range(5)}
+    assert found(spark, half | whole, ITEMS) == {(i, 0) for i in half | whole}
+
+
+def test_boilerplate_of_items_tells_nothing(spark):
+    stamp = words(25)
+    items = {i: stamp + words(40) for i in range(4)}
+    docs = {1: words(30) + stamp + words(30), 2: words(30) + items[2] + words(30)}
+    assert found(spark, docs, items) == {(2, 2)}
+    versions = {i: ITEMS[0][:50] + words(10) for i in range(4)}  # of one item: all of them leak
+    assert found(spark, {1: words(10) + ITEMS[0][:50]}, versions) == {(1, i) for i in versions}
+
+
+def test_short_items(spark):
+    items = {n: words(n) for n in range(1, 8)}
+    docs = {n: words(20) + w + words(20) for n, w in items.items()} | {10: words(9) + items[7][:4] + words(2) + items[7][4:]}
+    assert found(spark, docs, items) == {(n, n) for n in range(3, 8)}
+
+
+def test_without_broadcast(spark, frames, monkeypatch):
+    d, items, want = frames
+    for bound in ("BROADCAST_SEEDS", "BROADCAST_ITEMS", "BROADCAST_PAIRS"):
+        monkeypatch.setattr(K, bound, 0)
+    assert {(r.doc_id, r.item_id) for r in K.find_leaks(d, items).collect()} == want
+
+
+def test_alignment_of_batches_is_that_of_single_documents():
+    docs = [words(rng.randrange(0, 200)) + ITEMS[1][a : a + 30] + words(rng.randrange(200)) + ITEMS[1][:a] for a in range(0, 60, 7)] + [[], words(3)]
+    assert K.held_in(ITEMS[1], docs) == [K.held_words(ITEMS[1], x) for x in docs]
+    got = [h for h, _ in K.held_in(ITEMS[1], docs)]
+    assert all(h >= 30 or a > 30 for h, a in zip(got, range(0, 60, 7))) and got[-2:] == [0, 0]
+
+
+def test_long_item_by_parts(monkeypatch):
+    item = words(500)
+    monkeypatch.setattr(K, "LONGEST", 100)
+    assert K.held_words(item, words(50) + item + words(50))[0] >= 490

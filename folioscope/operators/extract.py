@@ -21,19 +21,19 @@ def label_values(spans: DataFrame, labels: list[str]) -> DataFrame:
     First the right neighbour of the first span equal to the label in lower case ('exact'), then of
     any such span, then the rest of the first span that starts with the label and has text after its
     colon ('heuristic'). Neighbours are looked up for the spans equal to a label only."""
-    wanted = F.explode(F.array(*(F.lit(x) for x in labels)))
-    docs = spans.select("doc_id").distinct().withColumn("label", wanted)
+    given = F.array(*(F.lit(x) for x in labels))
     low = F.lower(T.trim("text"))
     equal = low.isin(*[x.strip().lower() for x in labels])
     starts = reduce(lambda a, b: a | b, [low.startswith(x.strip().lower()) for x in labels])
-    own = spans.where(equal)
-    right = S.neighbours(spans, own, ("right",)).select("doc_id", "span_idx", "neighbour_idx")
-    texts = spans.select("doc_id", F.col("span_idx").alias("neighbour_idx"), F.col("text").alias("right"))
-    right = right.join(texts, ["doc_id", "neighbour_idx"]).select("doc_id", "span_idx", F.nullif("right", F.lit("")).alias("right"))
-    lines = spans.where(equal | (starts & F.col("text").contains(":"))).select("doc_id", "span_idx", T.trim("text").alias("t"))
-    key = F.lower(T.trim("label"))
-    cand = lines.join(right, ["doc_id", "span_idx"], "left").withColumn("label", wanted).where(F.startswith(F.lower("t"), key))
-    cand = cand.withColumn("same", F.lower("t") == key).withColumn("inline", F.nullif(T.colon_value(F.col("t")), F.lit("")))
+    kept = spans.withColumn("line", equal | (starts & F.col("text").contains(":"))).withColumn("t", F.when(F.col("line"), T.trim("text")))
+    # one pass over the documents; spans that may be labels stay, the rest only tells which documents there are
+    lines = S.beside_texts(kept, equal, ("right",), ["t"]).withColumn("right", F.nullif("right", F.lit("")))
+    key = lambda x: F.lower(T.trim(x))
+    fit = F.filter(given, lambda x: F.startswith(F.lower("t"), key(x)))
+    lines = materialize(lines.select("doc_id", "span_idx", "t", "right", F.when(F.col("t").isNotNull(), fit).alias("fit")), "label-lines")
+    docs = lines.select("doc_id").distinct().withColumn("label", F.explode(given))
+    cand = lines.where("t IS NOT NULL").select("doc_id", "span_idx", "t", "right", F.explode("fit").alias("label"))
+    cand = cand.withColumn("same", F.lower("t") == key("label")).withColumn("inline", F.nullif(T.colon_value(F.col("t")), F.lit("")))
     best = cand.groupBy("doc_id", "label").agg(
         F.min_by(F.struct("right"), F.when(F.col("same"), F.col("span_idx"))).alias("first"),
         F.min_by("right", F.when(F.col("same") & F.col("right").isNotNull(), F.col("span_idx"))).alias("any"),

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import nearest
+from folioscope.operators.nearest import DIRECTIONS, TOLERANCE
+from folioscope.session import broadcast_if_small, materialize
 
-#: Slack of a corridor, in points.
-TOLERANCE = 5.0
-#: Heights and widths of the bands that spans are joined by.
+#: Heights and widths of the bands that spans of very long documents are joined by.
 BAND_Y, BAND_X = 64.0, 256.0
-DIRECTIONS = ("right", "left", "top", "bottom")
+#: Spans of a document up to which one task compares them (coordinates and texts in memory).
+SPANS_A_TASK = 200_000
+BROADCAST_DOCS = 200_000
+_PLACE = ("span_idx", "x0", "y0", "x1", "y1")
+_INPUT = ("doc_id", *_PLACE, "wanted")
 COLUMNS = ("doc_id", "span_idx", "text", "x0", "y0", "x1", "y1", "page", "font_size", "is_bold", "is_italic")
 
 
@@ -41,15 +48,12 @@ def _band(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("int")
 
 
-def neighbours(spans: DataFrame, of: DataFrame | None = None, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
-    """(doc_id, span_idx, direction, neighbour_idx, distance): the nearest span fully inside the
-    corridor of each direction; ties go to the lowest span_idx. Spans are joined by document and
-    bands of their position, so long documents don't pair all their spans. ``of`` limits whose
-    neighbours are looked for, among all spans."""
-    s = spans.select("doc_id", "span_idx", "x0", "y0", "x1", "y1")
-    mine = s if of is None else of.select(*s.columns)
-    a = mine.select("doc_id", *(F.col(c).alias(f"a_{c}") for c in s.columns[1:]))
-    b = s.select("doc_id", *(F.col(c).alias(f"b_{c}") for c in s.columns[1:]))
+def _paired(s: DataFrame, directions: tuple[str, ...]) -> DataFrame:
+    """Neighbours in documents of any length, as a join by document and bands of position: (doc_id,
+    span_idx, direction, neighbour_idx, distance). For documents too long for one task; hot ones are
+    split by the engine."""
+    a = s.where("wanted").select("doc_id", *(F.col(c).alias(f"a_{c}") for c in _PLACE))
+    b = s.select("doc_id", *(F.col(c).alias(f"b_{c}") for c in _PLACE))
     dx = (F.col("b_x0") + F.col("b_x1")) / 2 - (F.col("a_x0") + F.col("a_x1")) / 2
     dy = (F.col("b_y0") + F.col("b_y1")) / 2 - (F.col("a_y0") + F.col("a_y1")) / 2
     beyond = {
@@ -77,14 +81,78 @@ def neighbours(spans: DataFrame, of: DataFrame | None = None, directions: tuple[
     return out.select("doc_id", "span_idx", "n.direction", F.col("n.c.i").alias("neighbour_idx"), F.sqrt("n.c.d2").alias("distance"))
 
 
+def _wide_reader(directions: tuple[str, ...], texts: bool):
+    """Every span's rest columns and, per direction, the neighbour's index (and text) and distance."""
+    rest = 7 + texts
+
+    def give(t: pa.Table, best: dict, dist: dict) -> Iterator[pa.RecordBatch]:
+        columns, names = [t.column(c) for c in (0, 1, *range(rest, t.num_columns))], [t.column_names[c] for c in (0, 1, *range(rest, t.num_columns))]
+        for d in directions:
+            at = pa.array(best[d], mask=best[d] < 0)
+            columns.append(t.column(1).take(at))
+            names.append(f"{d}_idx")
+            if texts:
+                columns.append(t.column(7).take(at))
+                names.append(d)
+            else:
+                columns.append(pa.array(dist[d], mask=best[d] < 0))
+                names.append(f"{d}_distance")
+        yield from pa.table(columns, names=names).combine_chunks().to_batches(max_chunksize=50_000)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nearest.with_nearest(batches, directions, give)
+
+    return read
+
+
+def _nearest(spans: DataFrame, directions: tuple[str, ...], texts: bool, keep: list[str]) -> DataFrame:
+    """(doc_id, span_idx, keep..., and per direction D: D_idx, and D, the neighbour's text, or D_distance)
+    of spans(doc_id, span_idx, x0, y0, x1, y1, wanted, text, keep...)."""
+    kinds = dict(spans.dtypes)
+    s = materialize(spans.select(*_INPUT, *(["text"] if texts else []), *(F.col(c).alias(f"k_{c}") for c in keep)), "spans")
+    long_ = s.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > SPANS_A_TASK).select("doc_id")
+    n_long = long_.count()
+    if n_long:
+        long_ = broadcast_if_small(materialize(long_, "long-documents"), BROADCAST_DOCS, n_long)
+    short = s.join(long_, "doc_id", "left_anti") if n_long else s
+    columns = [f"doc_id {kinds['doc_id']}, span_idx {kinds['span_idx']}", *(f"`k_{c}` {kinds[c]}" for c in keep)]
+    columns += [f"{d}_idx {kinds['span_idx']}, {d} string" if texts else f"{d}_idx {kinds['span_idx']}, {d}_distance double" for d in directions]
+    out = short.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_wide_reader(directions, texts), ", ".join(columns))
+    if n_long:
+        rows = s.join(long_, "doc_id", "left_semi")
+        edges = _paired(rows, directions).groupBy("doc_id", "span_idx").agg(
+            *(F.max(F.when(F.col("direction") == d, F.struct("neighbour_idx", "distance"))).alias(f"_{d}") for d in directions)
+        )
+        far = rows.join(edges, ["doc_id", "span_idx"], "left")
+        for d in directions:
+            far = far.withColumn(f"{d}_idx", F.col(f"_{d}.neighbour_idx")).withColumn(f"{d}_distance", F.col(f"_{d}.distance"))
+            if texts:
+                named = rows.select("doc_id", F.col("span_idx").alias(f"{d}_idx"), F.col("text").alias(d))
+                far = far.join(named, ["doc_id", f"{d}_idx"], "left")
+        out = out.unionByName(far.select(*out.columns))
+    return out.withColumnsRenamed({f"k_{c}": c for c in keep})
+
+
+def neighbours(spans: DataFrame, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
+    """(doc_id, span_idx, direction, neighbour_idx, distance): the nearest span fully inside the
+    corridor of each direction; ties go to the lowest span_idx."""
+    wide = _nearest(spans.withColumn("wanted", F.lit(True)), directions, False, [])
+    edge = lambda d: F.struct(F.lit(d).alias("direction"), F.col(f"{d}_idx").alias("i"), F.col(f"{d}_distance").alias("distance"))
+    out = wide.select("doc_id", "span_idx", F.explode(F.array(*(edge(d) for d in directions))).alias("n")).where("n.i IS NOT NULL")
+    return out.select("doc_id", "span_idx", "n.direction", F.col("n.i").alias("neighbour_idx"), "n.distance")
+
+
+def beside_texts(spans: DataFrame, wanted: Column, directions: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """(doc_id, span_idx, keep..., and per direction D: D_idx and D, the neighbour's text) of all spans;
+    neighbours are looked up for the ``wanted`` ones only, among all."""
+    return _nearest(spans.withColumn("wanted", F.coalesce(wanted, F.lit(False))), directions, True, keep)
+
+
 def graph(spans: DataFrame) -> DataFrame:
-    """Spans with the index and text of their neighbours: right, left, top, bottom (null: none)."""
-    texts = spans.select("doc_id", F.col("span_idx").alias("neighbour_idx"), F.col("text").alias("n_text"))
-    edges = neighbours(spans).join(texts, ["doc_id", "neighbour_idx"])
-    wide = edges.groupBy("doc_id", "span_idx").agg(
-        *(F.max(F.when(F.col("direction") == d, F.col("n_text"))).alias(d) for d in DIRECTIONS)
-    )
-    return spans.join(wide, ["doc_id", "span_idx"], "left")
+    """Spans with the text of their neighbours: right, left, top, bottom (null: none)."""
+    keep = [c for c in spans.columns if c not in ("doc_id", "span_idx")]
+    wide = beside_texts(spans, F.lit(True), DIRECTIONS, keep)
+    return wide.select(*spans.columns, *DIRECTIONS)
 
 
 def flat_graph(nodes: DataFrame) -> DataFrame:

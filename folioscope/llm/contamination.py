@@ -37,6 +37,8 @@ BROADCAST_SEEDS = 1_000_000
 BROADCAST_ITEMS, BROADCAST_PAIRS = 20_000, 200_000
 #: Tasks that a seed's documents are spread over where seeds are too many to broadcast.
 SALTS = 16
+#: Pairs that one task aligns.
+PAIRS_A_TASK = 20_000
 #: Words of a document that are aligned at a time, and cells of one step over a batch of documents.
 BLOCK, CELLS = 4096, 60_000
 #: Words of an item that are aligned at a time; longer items are held by their parts.
@@ -395,9 +397,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     with_items = pairs.join(broadcast_if_small(evals, BROADCAST_ITEMS, n_items), "item_id")
     held = docs.join(broadcast_if_small(pairs.select("doc_id").distinct(), BROADCAST_PAIRS, n_pairs), "doc_id", "left_semi")
     held = held.distinct().select("doc_id", words_of(F.col("text")).alias("doc_words"))
-    # the heavy step is spread by pairs; rows of one item lie together so that they are aligned together
-    tasks = max(spark.sparkContext.defaultParallelism, n_pairs // 20_000)
-    joined = with_items.join(held, "doc_id").repartition(tasks, "doc_id").sortWithinPartitions("item_id")
+    # pairs of one item lie together so that they are aligned together, but no more of them than a task should have
+    parts = max(1, n_pairs // PAIRS_A_TASK)
+    tasks = max(spark.sparkContext.defaultParallelism, parts)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    joined = with_items.join(held, "doc_id").repartition(tasks, "item_id", part).sortWithinPartitions("item_id")
     verified = joined.select("doc_id", "item_id", "n_words", "n_covered", "item_words", "doc_words").mapInArrow(_verify, _VERIFIED)
     most = F.max(F.struct("held", "passages", "n_covered")).alias("m")
     return verified.groupBy("doc_id", "item_id", "n_words").agg(most).select("doc_id", "item_id", "n_words", "m.n_covered", "m.held", "m.passages")

@@ -3,26 +3,36 @@
 Texts are taken apart and converted by built-in expressions. Whether a group writes day or month
 first is decided by its own unambiguous dates, then by which order fits the ingestion times better.
 Missing zones are estimated: local times are aligned with ingestion times under every zone named in
-the data, and per group the history of zones with the fewest violations is chosen (a change of zone
-from one day to the next costs ``SWITCH`` violations). Estimates don't touch the verdict, which
-says what the text itself leaves open.
+the data, and per group and day the history of zones is chosen that violates least what is known of the
+source: how long texts wait for their ingestion, how common each zone is and how often the zone changes
+from one text to the next. Estimates don't touch the verdict, which
+says what the text itself leaves open; how good they are is measured by hiding the zones that are known
+(``zone_accuracy``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.session import broadcast_if_small, materialize
 
-#: Cost of changing the zone from one day to the next, in violations.
-SWITCH = 2.0
-#: Share of known delays between a time and its ingestion that counts as usual.
-USUAL = 0.95
+#: Delays from a time to its ingestion that are told apart, in quarters of an hour; longer and shorter ones
+#: count as these.
+EARLIEST, LATEST = -100, 200
+#: The same for the distance between local time and ingestion.
+FARTHEST = 400
+#: Times that something never seen counts as seen.
+RARE = 0.1
+NO_GROUP = "\x00"
 BROADCAST_ROWS = 200_000
+#: Seconds of a quarter of an hour: delays are counted in such steps.
+STEP = 900
 
 # Month names in English, German, French and Spanish, as abbreviations and in full.
 MONTHS = (
@@ -143,33 +153,57 @@ def _day_first(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _zone_history(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per group: the zone of each day so that violations and changes cost least (dynamic programme
-    over days; ties go to the first zone in the alphabet)."""
-    table = pdf.pivot_table(index="day", columns="zone", values="bad", aggfunc="sum", fill_value=0).sort_index()
-    zones, days = list(table.columns), list(table.index)
-    cost, back = table.iloc[0].to_numpy(float), []
-    for i in range(1, len(days)):
-        best = int(cost.argmin())
-        stay = cost <= cost[best] + SWITCH
-        back.append([j if stay[j] else best for j in range(len(zones))])
-        cost = [cost[j] if stay[j] else cost[best] + SWITCH for j in range(len(zones))] + table.iloc[i].to_numpy(float)
-    at, picked = int(cost.argmin()), []
-    for i in range(len(days) - 1, -1, -1):
-        picked.append((days[i], zones[at]))
-        if i:
-            at = back[i - 1][at]
-    return pd.DataFrame([(*key, d, z) for d, z in picked], columns=["src", "grp", "day", "zone_guess"])
+def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The zone of each step so that a day's history of zones costs least (dynamic programme over the
+    day's steps; ties go to the first zone in the alphabet). Rows come sorted by src, grp, day and step."""
+    kinds = (pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string())
+    key, steps = None, []
 
+    def history() -> list[tuple]:
+        cost, back = None, []
+        for s in steps:
+            fit = s["n"] * np.array(s["cost"])
+            if cost is None:
+                cost = fit + np.array(s["prior"])
+            else:
+                stay, move = cost + s["stay"], cost.min() + s["move"] + np.array(s["prior"])
+                back.append(np.where(stay <= move, np.arange(len(cost)), int(cost.argmin())))
+                cost = fit + np.minimum(stay, move)
+        at, picked = int(cost.argmin()), []
+        for i in range(len(steps) - 1, -1, -1):
+            s = steps[i]
+            picked.append((s["src"], s["grp"], s["hour"], s["wait"], s["zones"][at]))
+            if i:
+                at = int(back[i - 1][at])
+        return picked
 
-def normalise(texts: DataFrame) -> DataFrame:
+    for batch in batches:
+        out = []
+        for s in batch.to_pylist():
+            k = (s["src"], s["grp"], s["day"])
+            if k != key and steps:
+                out += history()
+                steps = []
+            key = k
+            steps.append(s)
+        if out:
+            yield _columns(out, kinds)
+    if steps:
+        yield _columns(history(), kinds)
+
+
+def _columns(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["src", "grp", "hour", "wait", "zone_guess"])
+
+
+def verdicts(texts: DataFrame) -> DataFrame:
     """One row per row of texts(src, ref_id, field_name, text, zone, grp, ingested_at), without null texts:
-    (src, ref_id, field_name, verdict, utc, zone_guess, utc_guess).
+    (src, ref_id, field_name, grp, named, local, utc, ingested_at, verdict).
 
     verdict: 'unknown' (no real date and time, or no zone anywhere), 'gap', 'fold', 'shifted' (the UTC
     date isn't the one written) or 'plain'. ``utc`` is the instant, null for 'unknown'; a time in a gap
-    is moved on by the gap, of two times of a fold the first is taken. ``utc_guess`` is ``utc`` or, for a
-    time without zone, that under the estimated zone. Zone names the JVM doesn't know count as none.
+    is moved on by the gap, of two times of a fold the first is taken. Zone names the JVM doesn't know
+    count as none. Between day and month first, dates with slashes follow their group.
     """
     spark = texts.sparkSession
     valid = java_zones(spark)
@@ -196,33 +230,81 @@ def normalise(texts: DataFrame) -> DataFrame:
         .when(F.col("epoch").isNull() & (F.to_date("utc") != F.to_date("local")), "shifted")
         .otherwise("plain")
     )
-    rows = rows.withColumn("verdict", verdict).select(
-        "src", "ref_id", "field_name", "grp", "zone", "named", "local", "utc", "ingested_at", "verdict"
+    return rows.withColumn("verdict", verdict).select(
+        "src", "ref_id", "field_name", "grp", F.when(in_zone, F.col("named")).alias("named"), "local", "utc", "ingested_at", "verdict"
     )
-    rows = materialize(rows, "p5-rows")
-    guessed = _guess(rows)
+
+
+def normalise(texts: DataFrame) -> DataFrame:
+    """(src, ref_id, field_name, verdict, utc, zone_guess, utc_guess) of the rows of ``verdicts``.
+    ``utc_guess`` is ``utc`` or, for a time without zone, that under the estimated zone."""
+    rows = materialize(verdicts(texts), "p5-rows")
+    guessed = _guess(rows, F.col("utc").isNull())
     final = F.coalesce("utc", F.to_utc_timestamp("local", F.col("zone_guess")))
     return guessed.select("src", "ref_id", "field_name", "verdict", "utc", "zone_guess", final.alias("utc_guess"))
 
 
-def _guess(rows: DataFrame) -> DataFrame:
-    """Adds ``zone_guess`` to rows with a local time but no zone."""
-    delay = F.unix_seconds("ingested_at") - F.unix_seconds("utc")
-    usual = rows.where("utc IS NOT NULL AND ingested_at IS NOT NULL").groupBy("src").agg(
-        F.percentile_approx(delay, USUAL).alias("usual")
+def zone_accuracy(texts: DataFrame) -> DataFrame:
+    """(src, n, n_guessed, n_same_zone, n_same_utc): how often the estimate finds a zone that is known.
+    All texts whose zone is a name are taken as if they had none; usual delays and the names of zones come
+    from the whole data, as they do for texts truly without zone."""
+    rows = materialize(verdicts(texts), "p5-rows")
+    guessed = _guess(rows, F.col("named").isNotNull()).where("named IS NOT NULL")
+    right = F.to_utc_timestamp("local", F.col("zone_guess")) == F.col("utc")
+    return guessed.groupBy("src").agg(
+        F.count("*").alias("n"), F.count("zone_guess").alias("n_guessed"), F.count_if(F.col("zone_guess") == F.col("named")).alias("n_same_zone"),
+        F.count_if(right).alias("n_same_utc"),
+    )
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """(src, zones, prior, usual, stay, move), a row a source, from the rows whose instant is known: names of
+    zones and the cost of each, the cost of each delay in quarters of an hour, and what it costs to stay
+    in a zone from one text of a group's day to the next or to move to another."""
+    known = rows.where("utc IS NOT NULL AND ingested_at IS NOT NULL")
+    waits = known.groupBy("src", _delay(F.floor((F.unix_seconds("ingested_at") - F.unix_seconds("utc")) / STEP)).alias("i")).agg(F.count("*").alias("n"))
+    waits = waits.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"), F.sum("n").alias("all"))  # a delay is clipped: 302 at most
+    n_delays = LATEST - EARLIEST + 1
+    part = lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0)) + RARE) / (F.col("all") + RARE * n_delays)
+    waits = waits.select("src", F.transform(F.sequence(F.lit(0), F.lit(n_delays - 1)), lambda i: -F.ln(part(i.cast("long")))).alias("usual"))
+    zones = rows.where("named IS NOT NULL").groupBy("src", "named").agg(F.count("*").alias("n"))
+    zones = zones.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("named", "n"))).alias("z"), F.sum("n").alias("all"))
+    zones = zones.select("src", F.col("z.named").alias("zones"), F.transform("z.n", lambda n: -F.ln(n / F.col("all"))).alias("prior"))
+    day = Window.partitionBy("src", "grp", F.to_date("local")).orderBy("local", "ref_id")
+    moved = F.lag("named").over(day) != F.col("named")
+    moves = rows.where("named IS NOT NULL").select("src", moved.alias("moved")).where("moved IS NOT NULL").groupBy("src").agg(
+        ((F.count_if("moved") + RARE) / (F.count("*") + 2 * RARE)).alias("p")
     )
-    zones = rows.where("named IS NOT NULL").groupBy("src").agg(F.sort_array(F.collect_set("named")).alias("zones"))
-    facts = materialize(usual.join(zones, "src"), "p5-facts")  # a row a source
-    open_ = rows.where("utc IS NULL AND local IS NOT NULL AND ingested_at IS NOT NULL").withColumn("day", F.to_date("local"))
-    tried = open_.join(F.broadcast(facts), "src").select("src", "grp", "day", "local", "ingested_at", "usual", F.explode("zones").alias("zone"))
-    d = F.unix_seconds("ingested_at") - F.unix_seconds(F.to_utc_timestamp("local", F.col("zone")))
-    bad = tried.groupBy("src", "grp", "day", "zone").agg(F.count_if((d < 0) | (d > F.col("usual"))).alias("bad"))
-    history = materialize(
-        bad.groupBy("src", "grp").applyInPandas(_zone_history, "src string, grp string, day date, zone_guess string"), "p5-history"
+    p = F.coalesce("p", F.lit(0.5))
+    return waits.join(zones, "src").join(moves, "src", "left").select("src", "zones", "prior", "usual", (-F.ln(1 - p)).alias("stay"), (-F.ln(p)).alias("move"))
+
+
+def _delay(quarters: Column) -> Column:
+    """Position of a delay in a list of costs."""
+    return (F.greatest(F.lit(EARLIEST), F.least(F.lit(LATEST), quarters)) - EARLIEST).cast("long")
+
+
+def _guess(rows: DataFrame, hidden: Column) -> DataFrame:
+    """Adds ``zone_guess`` to the ``hidden`` rows that have a local time and a time of ingestion."""
+    facts = materialize(_facts(rows), "p5-facts")
+    open_ = hidden & F.col("local").isNotNull() & F.col("ingested_at").isNotNull()
+    # offsets of zones are whole quarters of an hour and change at full hours, so rows of one hour whose delay
+    # lies in the same quarter cost the same under every zone: they are counted before the zones are tried
+    wait = F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor((F.unix_seconds("ingested_at") - F.unix_seconds("local")) / STEP)))
+    rows = rows.withColumn("hour", F.when(open_, F.date_trunc("hour", "local"))).withColumn("wait", F.when(open_, wait))
+    steps = rows.where("hour IS NOT NULL").groupBy("src", "grp", "hour", "wait").agg(F.count("*").alias("n"))
+    offset = lambda z: ((F.unix_seconds("hour") - F.unix_seconds(F.to_utc_timestamp("hour", z))) / STEP).cast("long")
+    cost = F.transform("zones", lambda z: F.get("usual", _delay(F.col("wait") + offset(z)).cast("int")))
+    tried = steps.join(broadcast_if_small(facts, BROADCAST_ROWS), "src").select(
+        "src", "grp", F.to_date("hour").alias("day"), "hour", "wait", "n", "zones", "prior", "stay", "move", cost.alias("cost")
     )
-    small = broadcast_if_small(history, BROADCAST_ROWS)
-    open_day = F.when(F.col("utc").isNull(), F.to_date("local"))
-    return rows.withColumn("day", open_day).join(small, ["src", "grp", "day"], "left")
+    sorted_ = tried.repartition("src", "grp", "day").sortWithinPartitions("src", "grp", "day", "hour", "wait")
+    history = materialize(sorted_.mapInArrow(_histories, "src string, grp string, hour timestamp, wait long, zone_guess string"), "p5-history")
+    at = ["src", "grp", "hour", "wait"]
+    # a group without name is one as well
+    named = history.withColumn("grp", F.coalesce("grp", F.lit(NO_GROUP)))
+    found = rows.withColumn("g", F.coalesce("grp", F.lit(NO_GROUP))).join(broadcast_if_small(named, BROADCAST_ROWS).withColumnRenamed("grp", "g"), ["src", "g", "hour", "wait"], "left")
+    return found.drop(*at[2:], "g")
 
 
 def timestamp_texts(calls: DataFrame, records: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return timestamps.normalise(_texts(spark, d)).where("verdict != 'plain'").select("src", "ref_id", "field_name", "verdict")
+    return timestamps.verdicts(_texts(spark, d)).where("verdict != 'plain'").select("src", "ref_id", "field_name", "verdict")
 
 
 def p5_instants(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +65,13 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(_texts(spark, d))
 
 
+def p5_zones(spark: SparkSession, d: str) -> DataFrame:
+    """How often the estimate finds the zones that are known, when they are hidden."""
+    return timestamps.zone_accuracy(_texts(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p5_found, p5_instants)
+    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p5_found, p5_instants, p5_zones)
 }
 ORACLE: dict[str, str] = {}

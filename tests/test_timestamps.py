@@ -77,3 +77,17 @@ def test_missing_zones(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_hidden_zones_are_found(spark):
+    rng, rows, i = random.Random(3), [], 0
+    for zone in ("Asia/Tokyo", "America/New_York", "UTC"):
+        for day in range(1, 8):
+            for _ in range(4):
+                i += 1
+                u = dt.datetime(2025, 3, day, rng.randrange(24), rng.randrange(60), tzinfo=dt.timezone.utc)
+                rows.append(row(i, u.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), zone, zone, u + dt.timedelta(minutes=rng.randrange(1, 60))))
+    texts = spark.createDataFrame(rows, SCHEMA)
+    got = T.zone_accuracy(texts).collect()[0]
+    assert got.n == got.n_guessed == i and got.n_same_utc >= 0.95 * i
+    assert T.zone_accuracy(texts.limit(0)).count() == 0

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from folioscope.session import materialize
 
 OPEN = "\x01"
+#: Array fields of all sources up to which they are broadcast, and tasks that marked objects are spread over beyond it.
+BROADCAST_FIELDS, SALTS = 200_000, 64
 #: Frames for the walk; JSON nested deeper than the parser allows is unreadable anyway.
 DEEPEST = 100_000
 #: Objects gathered before a batch goes out.
@@ -61,8 +63,21 @@ class Walker:
             return
         if type(value) is dict:
             self.object(at, value, "", None, "", False, None)
-        elif type(value) is list:
-            self.array(at, value, "", "", "", None)
+        else:
+            self.other(at, value)
+
+    def other(self, at: int, value) -> None:
+        """A record that is no object has a row all the same, with its value under a key that no object has."""
+        slot = len(self.path)
+        for column, x in zip((self.at, self.path, self.parent, self.field, self.lone, self.deps, self.state), (at, "", None, "", False, None, None)):
+            column.append(x)
+        self.keys.append([OPEN] if self.with_keys else None)
+        whole = type(value) is list and value and _only_objects(value)
+        self.vals.append([] if whole else [(OPEN, json.dumps(_hollow(value)))])
+        kind = self.array(at, value, "", "", "", None) if type(value) is list else _LEAF[type(value)]
+        self.state[slot] = self.name_of((OPEN, kind))
+        if not self.values:
+            self.vals[slot] = None
 
     def object(self, at: int, obj: dict, path: str, parent: str | None, field: str, lone: bool, deps: list | None) -> str:
         slot = len(self.path)
@@ -221,13 +236,20 @@ def read_objects(records: DataFrame, values: bool = True, keys: bool = True) ->
     one = one.dropDuplicates(["src", "ref_id"])
     read = one.mapInArrow(_reader(values, keys), _READ)
     read = materialize(read, "p4-objects")
-    arrays = read.where("ref_id IS NULL").groupBy("src").agg(F.collect_set("field").alias("arrays"))
+    told = materialize(read.where("ref_id IS NULL").select("src", "field").distinct(), "p4-arrays")
+    arrays = told.groupBy("src").agg(F.collect_set("field").alias("arrays"))  # as wide as the schemas are
     objects = read.where("ref_id IS NOT NULL")
     plain = objects.where("deps IS NULL").select(
         "src", "ref_id", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "field", "state",
         ((~F.col("lone")) & (F.col("path") != "")).alias("is_element"), "keys", "vals",
     )
-    marked = objects.where("deps IS NOT NULL").join(arrays, "src", "left")
+    marked = objects.where("deps IS NOT NULL")
+    if told.count() <= BROADCAST_FIELDS:
+        marked = marked.join(F.broadcast(arrays), "src", "left")
+    else:
+        # there are few sources: spread each over many tasks
+        spread = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        marked = marked.withColumn("salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS))).join(spread, ["src", "salt"], "left")
     known = F.coalesce("arrays", F.array().cast("array<string>"))
     marked = marked.select(
         "src", "ref_id", _resolved(F.col("path"), F.col("deps"), known).alias("node_path"),
@@ -268,6 +290,123 @@ def flat_tables(objects: DataFrame) -> DataFrame:
     return objects.select("src", "field", "state", "ref_id", "node_path", "parent_path", "is_element", "vals")
 
 
+def typed_values(objects: DataFrame) -> DataFrame:
+    """The values of every variant's table by type, a row a value: (src, field, state, ref_id, node_path, key,
+    kind, text, number, flag). ``kind``: string, number, boolean, null or array (of anything but objects alone,
+    as JSON in ``text``); a number beyond the range of a double keeps its digits in ``text``."""
+    v = objects.select("src", "field", "state", "ref_id", "node_path", F.explode("vals").alias("key", "v"))
+    first = F.substring("v", 1, 1)
+    kind = (
+        F.when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(first == "[", "array").otherwise("number")
+    )
+    v = v.withColumn("kind", kind)
+    number = F.when(F.col("kind") == "number", F.col("v").try_cast("double"))
+    plain = F.get_json_object(F.concat(F.lit('{"v":'), F.col("v"), F.lit("}")), "$.v")
+    text = F.when(F.col("kind") == "string", F.coalesce(plain, F.col("v"))).when((F.col("kind") == "array") | ((F.col("kind") == "number") & number.isNull()), F.col("v"))
+    return v.select("src", "field", "state", "ref_id", "node_path", "key", "kind", text.alias("text"), number.alias("number"), (F.when(F.col("kind") == "boolean", F.col("v") == "true")).alias("flag"))
+
+
+# ---------------------------------------------------------------- the way back
+
+
+def _same_form(v):
+    """A value as nested records count it: arrays kept as text are arrays, and an array of one object is
+    that object."""
+    if type(v) is str:
+        inner = _array_in(v)
+        return v if inner is None else _same_form(inner)
+    if type(v) is list:
+        items = [_same_form(x) for x in v]
+        return items[0] if len(items) == 1 and type(items[0]) is dict else items
+    if type(v) is dict:
+        return {_clean(k): _same_form(x) for k, x in v.items()}
+    return v
+
+
+def _put(place, positions: list[int], child):
+    """``place`` with ``child`` at the given positions of its arrays."""
+    if not positions:
+        return child
+    if type(place) is str:
+        place = json.loads(place)
+    place = place if type(place) is list else []
+    at = positions[0]
+    place.extend([None] * (at + 1 - len(place)))
+    place[at] = _put(place[at], positions[1:], child)
+    return place
+
+
+def _put_together(rows: list[dict]):
+    """The record whose objects are ``rows``(node_path, parent_path, field, vals). An object under an empty key of
+    the record itself shares the record's path and can't be told from it."""
+    made = {r["node_path"]: {k: json.loads(v) for k, v in r["vals"]} for r in rows}
+    fields = {r["node_path"]: r["field"] for r in rows}
+    for r in rows:
+        if r["parent_path"] is None:
+            continue
+        over, field = r["parent_path"], r["field"]
+        key = field[len(fields[over]) + 1 :] if over else field
+        name = f"{over}.{key}" if over else key
+        if not over and not key:
+            key = OPEN  # an element of a record that is an array
+        positions = [int(x) for x in r["node_path"][len(name) :].strip("[]").split("][") if x]
+        made[over][key] = _put(made[over].get(key), positions, made[r["node_path"]])
+    return made[""].get(OPEN, made[""])
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(DEEPEST)
+    key, rows = None, []
+
+    def out(records: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*records)) if records else [[], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["src", "ref_id", "n_objects", "record_json"])
+
+    def whole() -> tuple:
+        return (*key, len(rows), json.dumps(_same_form(_put_together(rows)), sort_keys=True))
+
+    for batch in batches:
+        done = []
+        for r in batch.to_pylist():
+            if (r["src"], r["ref_id"]) != key:
+                if rows:
+                    done.append(whole())
+                key, rows = (r["src"], r["ref_id"]), []
+            rows.append(r)
+        yield out(done)
+    if rows:
+        yield out([whole()])
+
+
+def rebuilt(objects: DataFrame) -> DataFrame:
+    """(src, ref_id, n_objects, record_json): every record put together again from its flat tables. Keys are in
+    order of the alphabet, arrays of one object are that object and arrays kept as text are arrays."""
+    flat = flat_tables(objects).select("src", "ref_id", "node_path", "parent_path", "field", "vals")
+    # the objects of one record lie together
+    return flat.repartition("src", "ref_id").sortWithinPartitions("src", "ref_id").mapInArrow(_rebuild, "src string, ref_id long, n_objects long, record_json string")
+
+
+def _as_written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(DEEPEST)
+    for batch in batches:
+        forms = []
+        for text in batch.column("fields_json").to_pylist():
+            try:
+                forms.append(json.dumps(_same_form(json.loads(text)), sort_keys=True))
+            except (ValueError, RecursionError):
+                forms.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("ref_id"), pa.array(forms, pa.string())], names=["src", "ref_id", "written"])
+
+
+def compare_rebuilt(records: DataFrame, objects: DataFrame) -> DataFrame:
+    """(src, ref_id, n_objects, same): whether each readable record comes out of its flat tables as it was written."""
+    one = records.select("src", F.col("ref_id").cast("long").alias("ref_id"), "fields_json").where("fields_json IS NOT NULL AND ref_id IS NOT NULL").dropDuplicates(["src", "ref_id"])
+    written = one.mapInArrow(_as_written, "src string, ref_id long, written string").where("written IS NOT NULL")
+    both = written.join(rebuilt(objects), ["src", "ref_id"], "left")
+    return both.select("src", "ref_id", F.coalesce("n_objects", F.lit(0)).cast("long").alias("n_objects"), F.coalesce(F.col("written") == F.col("record_json"), F.lit(False)).alias("same"))
+
+
 def flat_table(objects: DataFrame, src: str, field: str, columns: dict[str, str], state: str | None = None) -> DataFrame:
     """The table of one field (or of one variant of it): (ref_id, node_path, parent_path, columns...).
     ``columns`` maps keys to SQL types; values that don't fit the type are null here and stay in

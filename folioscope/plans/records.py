@@ -52,6 +52,17 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("rest", F.to_json("rest"))
 
 
+def p4_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The values of all flat tables by type, with the variant each belongs to."""
+    return nested.typed_values(_objects(spark, d, values=True, keys=False))
+
+
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the flat tables of each record give the record back."""
+    records = nested.json_records(table(spark, d, "extracted_records"), table(spark, d, "batch_entries"))
+    return nested.compare_rebuilt(records, _objects(spark, d, values=True, keys=False)).select("src", "ref_id", "same")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.timestamp_texts(table(spark, d, "llm_calls"), table(spark, d, "extracted_records"))
 
@@ -72,6 +83,9 @@ def p5_zones(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p5_found, p5_instants, p5_zones)
+    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p4_typed, p4_rebuilt, p5_found, p5_instants, p5_zones)
+}
+ORACLE: dict[str, str] = {
+    "p4_rebuilt": """SELECT DISTINCT 'record' AS src, record_id AS ref_id, true AS same FROM extracted_records WHERE json_valid(fields_json)
+    UNION ALL SELECT DISTINCT 'entry', entry_id, true FROM batch_entries WHERE json_valid(fields_json)""",
 }
-ORACLE: dict[str, str] = {}

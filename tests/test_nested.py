@@ -171,3 +171,30 @@ def test_flat_tables_of_whole_tables(spark, sf):
         for k, v in r.vals.items():
             scalars(json.loads(v), f"{r.field}.{k}" if r.field else k, got)
     assert got == want and len(got) > 50
+
+
+def test_rebuilt_records(spark):
+    texts = [
+        '{"rows":[[1,2],[3,4]],"m":[7,{"a":1},"x"]}', '{"a":[{"b":[{},null,{"c":1}]},[{"d":[[{"e":0}]]}]],"t":{"n":1}}', '{"s":"[{\\"q\\":[{}]}]","u.v":[{"w":{}}],"k[0]":{"z":[]}}',
+        '{"a":{"b":{"c":2}},"x":"[not json","n":null,"e":[],"f":[[],[{}]],"big":123456789012345678901234567890,"small":1e-400}', '[{"z":{}},5,"[1]"]', '[{"z":1}]', "7", '"text"', "{}", "null",
+        '{"a":["[{\\"q\\":1}]",2]}', '{"a":{"":[{"":1}]}}',
+    ]
+    rows = [("r", i, t, None) for i, t in enumerate(texts)] + [("r", 90, '{"cut', None), ("r", 91, None, None), ("r", None, "{}", None), ("r", 0, texts[0], None)]
+    df = spark.createDataFrame(rows, "src string, ref_id long, fields_json string, state string")
+    got = {r.ref_id: r.same for r in nested.compare_rebuilt(df, nested.read_objects(df)).collect()}
+    assert got == dict.fromkeys(range(len(texts)), True)
+    assert nested.compare_rebuilt(df.limit(0), nested.read_objects(df.limit(0))).count() == 0
+
+
+def test_array_fields_too_many_to_broadcast(spark, monkeypatch):
+    rows = [("r", i, '{"a":{"b":{"c":2}}}' if i % 2 else '{"a":[{"b":1},{"b":[{}]}]}', None) for i in range(40)]
+    small = paths(read(spark, rows))
+    monkeypatch.setattr(nested, "BROADCAST_FIELDS", 0)
+    assert paths(read(spark, rows)) == small == expected([r[:3] for r in rows])
+
+
+def test_typed_values(spark):
+    objects = read(spark, [("r", 1, '{"a":"x\\n","b":1.5,"c":true,"d":null,"e":[1,{"f":"y"}],"g":1e999}', None)], values=True)
+    got = {(r.node_path, r.key): (r.kind, r.text, r.number, r.flag) for r in nested.typed_values(objects).collect()}
+    assert got[("", "a")] == ("string", "x\n", None, None) and got[("", "b")] == ("number", None, 1.5, None) and got[("", "c")] == ("boolean", None, None, True)
+    assert got[("", "d")][0] == "null" and got[("", "e")] == ("array", "[1, {}]", None, None) and got[("e[1]", "f")] == ("string", "y", None, None)

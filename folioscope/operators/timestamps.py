@@ -87,20 +87,33 @@ def _parts(text: Column) -> Column:
 
 
 def _month(name: Column) -> Column:
-    low = F.lower(name)
-    return reduce(lambda acc, m: acc.when(low.isin(*m[1]), m[0] + 1), enumerate(MONTHS), F.when(F.lit(False), F.lit(0)))
+    numbers = F.create_map(*(F.lit(x) for no, names in enumerate(MONTHS, 1) for n in names for x in (n, no)))
+    return F.try_element_at(numbers, F.lower(name))
 
 
-def _instant(y: Column, m: Column, d: Column, p: Column) -> Column:
-    """The written local time as if it were UTC; null where there is no such date or time."""
+def _time(p: Column) -> Column:
+    """Microseconds since midnight; null where there is no such time."""
     h, mi = p[3].try_cast("int"), p[4].try_cast("int")
     s = F.when(p[5] == "", 0).otherwise(p[5].try_cast("int"))
     half = F.lower(p[9])
     hour = F.when(half == "", h).when((h < 1) | (h > 12), None).otherwise(h % 12 + F.when(half == "pm", 12).otherwise(0))
     micros = F.rpad(F.substring(p[6], 1, 6), 6, "0").cast("int")
-    ok = (y >= 1) & m.between(1, 12) & (d >= 1) & hour.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
-    day = F.when(ok, F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
-    return F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + (hour * 3600 + mi * 60 + s).cast("long") * 1_000_000 + micros)
+    return F.when(hour.between(0, 23) & mi.between(0, 59) & s.between(0, 59), (hour * 3600 + mi * 60 + s).cast("long") * 1_000_000 + micros)
+
+
+def _instant(y: Column, m: Column, d: Column, time: Column) -> Column:
+    """The written local time as if it were UTC; null where there is no such date or time."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    day = F.when((y >= 1) & m.between(1, 12) & d.between(1, longest), F.make_date(y, m, d))
+    return F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + time)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often they are read: the optimizer would write
+    them out again at each place, but doesn't look through a generator."""
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.select(*(F.col(c) for c in df.columns if c not in columns), *(F.col(f"_once.{n}") for n in columns))
 
 
 def parse(texts: DataFrame) -> DataFrame:
@@ -110,17 +123,17 @@ def parse(texts: DataFrame) -> DataFrame:
     t = F.trim(F.col("text"))
     whole = F.length(F.regexp_extract(t, r"^-?(\d+)", 1))
     scale = F.when(whole <= 11, 1_000_000).when(whole <= 14, 1_000).when(whole <= 17, 1)
-    number = t.try_cast("decimal(29,9)")
+    is_number = t.rlike(_EPOCH)
+    number = F.when(is_number, t).try_cast("decimal(29,9)")
     micros = F.when(whole > 17, F.floor(number / 1000)).otherwise(number * scale).cast("decimal(38,0)").cast("long")
-    rows = texts.withColumn("is_number", t.rlike(_EPOCH)).withColumn("p", _parts(t))
-    rows = rows.withColumn("p", F.when(F.size("p") == 10, F.col("p")))
-    rows = rows.withColumn("epoch", F.when(F.col("is_number"), F.timestamp_micros(micros)))
+    rows = _once(texts, p=_parts(t), epoch=F.when(is_number, F.timestamp_micros(micros)))
+    rows = _once(rows, p=F.when(F.size("p") == 10, F.col("p")))
     p = F.col("p")
     fit = p.isNotNull()
-    slash = fit & p[1].endswith("/")
-    a, b = F.regexp_replace(p[1], "/", "").try_cast("int"), p[2].try_cast("int")
-    y = p[0].try_cast("int")
-    month = F.coalesce(p[1].try_cast("int"), _month(p[1]))
+    slash = p[1].endswith("/")
+    first = F.when(slash, F.regexp_replace(p[1], "/", "")).when(p[1].rlike("^[0-9]"), p[1]).try_cast("int")
+    rows = _once(rows, y=p[0].try_cast("int"), a=F.coalesce(first, _month(p[1])), b=p[2].try_cast("int"), time=_time(p), by_slash=fit & slash)
+    slash, y, a, b = F.col("by_slash"), F.col("y"), F.col("a"), F.col("b")
     zone = F.upper(p[7])
     digits = F.regexp_replace(p[7], ":", "")
     signed = F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
@@ -130,14 +143,14 @@ def parse(texts: DataFrame) -> DataFrame:
         .otherwise(F.try_element_at(abbreviation, zone))
     )
     offset = F.when(F.abs(offset) <= 18 * 60, offset)
-    return rows.select(
-        "*",
-        F.when(slash, _instant(y, b, a, p)).when(fit, _instant(y, month, b, p)).alias("local"),
-        F.when(slash, _instant(y, a, b, p)).alias("local_mdy"),
-        F.when(slash, F.struct(a.alias("a"), b.alias("b"))).alias("slash"),
-        offset.alias("offset"),
-        F.when(fit & (p[8] != ""), p[8]).alias("region"),
-    ).drop("p", "is_number")
+    return _once(
+        rows,
+        local=_instant(y, F.when(slash, b).otherwise(a), F.when(slash, a).otherwise(b), F.col("time")),
+        local_mdy=F.when(slash, _instant(y, a, b, F.col("time"))),
+        slash=F.when(slash, F.struct(a.alias("a"), b.alias("b"))),
+        offset=offset,
+        region=F.when(fit & (p[8] != ""), p[8]),
+    ).drop("p", "y", "a", "b", "time", "by_slash")
 
 
 def _day_first(parsed: DataFrame) -> DataFrame:
@@ -210,16 +223,16 @@ def verdicts(texts: DataFrame) -> DataFrame:
     texts = materialize(texts.where("text IS NOT NULL"), "p5-texts")  # read for the order of dates and again for all
     order = materialize(_day_first(parse(texts.where(F.trim("text").rlike(r"^\d{1,2}/")))), "p5-order")
     parsed = parse(texts).join(broadcast_if_small(order, BROADCAST_ROWS), ["src", "grp"], "left")
-    rows = parsed.withColumn("local", F.when(F.col("slash").isNotNull() & ~F.col("day_first"), F.col("local_mdy")).otherwise(F.col("local")))
+    local = F.when(F.col("slash").isNotNull() & ~F.col("day_first"), F.col("local_mdy")).otherwise(F.col("local"))
     named = F.coalesce(F.when(F.col("region").isin(*valid), F.col("region")), F.when(F.col("zone").isin(*valid), F.col("zone")))
-    rows = rows.withColumn("named", named)
+    rows = _once(parsed, local=local, named=named)
     by_zone = F.to_utc_timestamp("local", F.col("named"))
     u = (
         F.when(F.col("epoch").isNotNull(), F.col("epoch"))
         .when(F.col("offset").isNotNull(), F.timestamp_micros(F.unix_micros("local") - F.col("offset").cast("long") * 60_000_000))
         .when(F.col("named").isNotNull(), by_zone)
     )
-    rows = rows.withColumn("utc", u)
+    rows = _once(rows, utc=u)
     in_zone = F.col("epoch").isNull() & F.col("offset").isNull() & F.col("named").isNotNull() & F.col("local").isNotNull()
     back = lambda minutes: F.from_utc_timestamp(F.timestamp_micros(F.unix_micros("utc") + F.lit(minutes * 60_000_000).cast("long")), F.col("named"))
     twice = reduce(lambda a, b: a | b, [back(m) == F.col("local") for m in (60, -60, 30, -30)])
@@ -230,7 +243,7 @@ def verdicts(texts: DataFrame) -> DataFrame:
         .when(F.col("epoch").isNull() & (F.to_date("utc") != F.to_date("local")), "shifted")
         .otherwise("plain")
     )
-    return rows.withColumn("verdict", verdict).select(
+    return _once(rows, verdict=verdict).select(
         "src", "ref_id", "field_name", "grp", F.when(in_zone, F.col("named")).alias("named"), "local", "utc", "ingested_at", "verdict"
     )
 

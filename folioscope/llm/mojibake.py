@@ -1,13 +1,15 @@
 """Problem 1: text decoded with the wrong character encoding.
 
 Every distinct corpus word with a non-ASCII sign is turned into the forms it would take if its
-bytes (written in one encoding) had been read in another one, once or twice. The forms are
+bytes (written in one encoding) had been read in another one, up to three times. The forms are
 joined with the corpus' own distinct words, so what remains is a small table
 ``garbled word -> original word``. Document words are then hash-joined with it.
 """
 
 from __future__ import annotations
 
+import codecs
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,10 @@ READ_AS = (
 )
 #: Codecs through which UTF-8 bytes are read a second time.
 READ_TWICE_AS = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850")
+#: Codecs through which UTF-8 bytes are read three times.
+READ_THRICE_AS = ("cp1252", "latin-1")
+#: Readers that take bytes in pairs.
+READ_AS_PAIRS = ("gbk", "shift_jis", "big5", "euc_jp", "euc_kr")
 #: Readers that leave bytes undefined; those bytes stay as control characters, vanish or become U+FFFD.
 PARTIAL = ("cp1252", "cp1250", "cp1251")
 #: A form from a single-byte chain counts as damage only when it is this much rarer than the original
@@ -39,6 +45,8 @@ PARTIAL = ("cp1252", "cp1250", "cp1251")
 RARITY_SHORT, RARITY = 20, 2
 #: Words up to which a table of words is broadcast; some words are in a large part of all texts.
 BROADCAST_WORDS = 500_000
+#: Tasks that the texts with one garbled word are spread over where the words are too many to broadcast.
+SALTS = 16
 #: Words whose forms one task makes.
 WORDS_A_TASK = 5_000
 WORD_BREAK = r"[ \t\r\n0-9]+"
@@ -47,24 +55,28 @@ FORM_SCHEMA = "form string, word string, n_word long, chain string, rank int, st
 
 
 @lru_cache(maxsize=None)
-def _reader(codec: str, undefined: str) -> dict[int, str]:
-    out = {}
+def _reader(codec: str, undefined: str) -> tuple[str, bytes]:
+    """The character of each byte under a single-byte codec, and the bytes to leave out."""
+    signs, none = [], []
     for b in range(256):
         try:
-            out[b] = bytes([b]).decode(codec)
+            signs.append(bytes([b]).decode(codec))
         except UnicodeDecodeError:
-            out[b] = {"keep": chr(b), "drop": "", "mark": "�"}[undefined]
-    return out
+            signs.append("\ufffd" if undefined == "mark" else chr(b))
+            none.append(b)
+    return "".join(signs), bytes(none) if undefined == "drop" else b""
 
 
 def _read(data: bytes, codec: str, undefined: str = "keep") -> str:
-    return "".join(map(_reader(codec, undefined).__getitem__, data))
+    signs, out = _reader(codec, undefined)
+    return codecs.charmap_decode(data.translate(None, out) if out else data, "strict", signs)[0]
 
 
 def garbled_forms(word: str) -> dict[tuple[str, str], tuple[int, bool, bool]]:
     """All wrong readings of ``word``: (form, chain) -> (rank, strict, lossless), the likelier
-    chains first. ``strict`` forms
-    come from UTF-8 bytes and hardly arise by chance; ``lossless`` ones lead back to the word."""
+    chains first. ``strict`` forms come from UTF-8 bytes and hardly arise by chance; ``lossless`` ones
+    lead back to the word. A chain that differs from an earlier one in what it does with bytes that the
+    reader doesn't define is left out where there are none."""
     out: dict[tuple[str, str], tuple[int, bool, bool]] = {}
 
     def put(form: str, chain: str, strict: bool, lossless: bool) -> None:
@@ -85,18 +97,33 @@ def garbled_forms(word: str) -> dict[tuple[str, str], tuple[int, bool, bool]]:
             if utf8 and "\xa0" in once:  # the no-break space was later taken for a blank
                 put(once.replace("\xa0", ""), f"{enc}>{dec}-blank", False, False)
             if dec in PARTIAL:
-                put(_read(data, dec, "drop"), f"{enc}>{dec}-drop", utf8, False)
-                put(_read(data, dec, "mark"), f"{enc}>{dec}-mark", utf8, False)
+                for how in ("drop", "mark"):
+                    form = _read(data, dec, how)
+                    if form != once:
+                        put(form, f"{enc}>{dec}-{how}", utf8, False)
             if utf8:
                 again = once.encode("utf-8")
                 for dec2 in READ_TWICE_AS:
-                    put(_read(again, dec2), f"{enc}>{dec}>utf-8>{dec2}", True, True)
+                    twice = _read(again, dec2)
+                    put(twice, f"{enc}>{dec}>utf-8>{dec2}", True, True)
                     if dec2 in PARTIAL:
-                        put(_read(again, dec2, "drop"), f"{enc}>{dec}>utf-8>{dec2}-drop", True, False)
+                        form = _read(again, dec2, "drop")
+                        if form != twice:
+                            put(form, f"{enc}>{dec}>utf-8>{dec2}-drop", True, False)
+                    if dec == dec2 and dec in READ_THRICE_AS:
+                        put(_read(twice.encode("utf-8"), dec), f"{enc}>{dec}>utf-8>{dec}>utf-8>{dec}", True, True)
         if utf8:
             put(data.decode("ascii", "replace"), "utf-8>ascii", True, False)
         else:
-            put(data.decode("utf-8", "replace"), f"{enc}>utf-8", "�" in data.decode("utf-8", "replace"), False)
+            form = data.decode("utf-8", "replace")
+            put(form, f"{enc}>utf-8", "\ufffd" in form, False)
+        if utf8 or enc in READ_AS_PAIRS:
+            for dec in READ_AS_PAIRS:
+                if dec != enc:
+                    form = data.decode(dec, "replace")
+                    back = form.encode(dec, "replace") == data
+                    # one or two signs of these large sets may stand for themselves
+                    put(form, f"{enc}>{dec}", utf8 and len(form) > 2, back)
     return out
 
 
@@ -153,7 +180,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
     short = (F.length("form") <= 2) & ~F.col("strict")
     likeliest = hits.where(F.length("form") > 2).groupBy("form", "word").agg(F.min_by("chain", "rank").alias("chain"))
     at_work = likeliest.select("chain").distinct()
-    hits = hits.where(~short).unionByName(hits.where(short).join(F.broadcast(at_work), "chain", "left_semi").select(*hits.columns))
+    at_work = materialize(at_work, "p1-chains")
+    hits = hits.where(~short).unionByName(hits.where(short).join(broadcast_if_small(at_work, BROADCAST_WORDS), "chain", "left_semi").select(*hits.columns))
     damaged = hits.select(F.col("form").alias("word")).distinct().withColumn("again", F.lit(1))
     return hits.join(damaged, "word", "left")
 
@@ -187,8 +215,14 @@ def repair(texts: DataFrame) -> DataFrame:
     """
     key = ["src", "doc_id", "pos", "text"]
     occurrences = with_words(texts.distinct(), "text").withColumnRenamed("word", "form")
-    bad = garbled_words(occurrences.select(F.col("form").alias("word")))
-    cand = occurrences.join(bad, "form")
+    bad = materialize(garbled_words(occurrences.select(F.col("form").alias("word"))), "p1-originals")
+    n_bad = bad.count()
+    if n_bad <= BROADCAST_WORDS:
+        cand = occurrences.join(F.broadcast(bad), "form")
+    else:
+        # a garbled word may be in a large part of all texts: spread its texts, and repeat its originals
+        spread = bad.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        cand = occurrences.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))).join(spread, ["form", "salt"]).drop("salt")
     same_chain = Window.partitionBy(*key, "chain")
     best = Window.partitionBy(*key, "form").orderBy(
         F.col("again").asc_nulls_first(), F.desc("explained"), F.desc("strict"), F.desc("lossless"), "rank",
@@ -219,3 +253,44 @@ def repair(texts: DataFrame) -> DataFrame:
     return per_text.select(
         "src", "doc_id", "pos", "text", F.when(F.col("sure"), whole).alias("restored"), "n_garbled", "chains"
     )
+
+
+#: Chains that ``accuracy`` damages texts by: written in, read as.
+TRIALS = (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "mac_roman"), ("utf-8", "gbk"), ("cp1252", "cp850"), ("cp1251", "cp1252"))
+
+
+def _damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for no, text in enumerate(batch.column("text").to_pylist()):
+            fit = []
+            for written, read in TRIALS:
+                try:
+                    data = text.encode(written)
+                except UnicodeEncodeError:
+                    continue
+                form = data.decode(read, "replace") if read in READ_AS_PAIRS else _read(data, read)
+                if form != text:
+                    fit.append((no, f"{written}>{read}", form))
+            if fit:
+                out.append(fit[zlib.crc32(text.encode("utf-8", "replace")) % len(fit)])
+        rows, chains, forms = zip(*out) if out else ((), (), ())
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("text").take(at), pa.array(chains, pa.string()), pa.array(forms, pa.string())], names=["original", "chain", "text"])
+
+
+def accuracy(texts: DataFrame) -> DataFrame:
+    """(chain, n, n_found, n_sure, n_restored): every distinct text of ``texts`` that has no garbled word is damaged
+    by one of the ``TRIALS`` that can hold it, chosen by a hash of the text, and repaired among all texts. ``n_found`` counts the damaged
+    texts in which damage is seen, ``n_sure`` those with a restored text and ``n_restored`` those whose restored
+    text is the original."""
+    clean = texts.where(F.col("text").rlike(r"[^\x20-\x7e]")).join(find_garbled(texts), ["src", "doc_id", "pos"], "left_anti").select("text").distinct()
+    made = clean.mapInArrow(_damage, "original string, chain string, text string")
+    made = materialize(made.select("*", F.xxhash64("chain").alias("doc_id"), F.xxhash64("original").alias("pos")), "p1-trials")
+    trial = made.select(F.lit("trial").alias("src"), "doc_id", "pos", "text")
+    known = texts.select("src", F.col("doc_id").cast("long"), F.col("pos").cast("long"), "text")
+    fixed = repair(known.unionByName(trial)).where("src = 'trial'").select("doc_id", "pos", "text", "restored", F.lit(True).alias("seen"))
+    both = made.join(fixed, ["doc_id", "pos", "text"], "left")
+    return both.groupBy("chain").agg(
+        F.count("*").alias("n"), F.count("seen").alias("n_found"), F.count("restored").alias("n_sure"), F.count_if(F.col("restored") == F.col("original")).alias("n_restored")
+    )

@@ -31,6 +31,11 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("chains", F.array_join("chains", " "))
 
 
+def p1_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How many clean texts come back after they were damaged, by chain of encodings."""
+    return mojibake.accuracy(_pieces(spark, d))
+
+
 def p3_latency(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.call_latencies(table(spark, d, "llm_calls")), ["model"], PS)
 
@@ -101,7 +106,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_restored, p3_latency, p3_duration, p3_days, p3_combined, p6_found, p6_labels, p6_texts,
+        p1_found, p1_restored, p1_accuracy, p3_latency, p3_duration, p3_days, p3_combined, p6_found, p6_labels, p6_texts,
         p7_found, p7_items, p8_sample, p8_shares, p9_found, p9_shares,
     )
 }

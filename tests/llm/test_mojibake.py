@@ -61,9 +61,34 @@ def test_forms_lead_back():
                 steps = chain.split(">")
                 back = form
                 for enc, dec in zip(reversed(steps[1::2]), reversed(steps[0::2])):
-                    table = {v: k for k, v in M._reader(enc, "keep").items()}
+                    if enc in M.READ_AS_PAIRS:
+                        back = back.encode(enc).decode(dec)
+                        continue
+                    table = {v: k for k, v in enumerate(M._reader(enc, "keep")[0])}
                     if len(table) < 256 or any(c not in table for c in back):
                         break
                     back = bytes(table[c] for c in back).decode(dec)
                 else:
                     assert back == word
+
+
+def test_readers_of_pairs_and_third_pass(spark):
+    words = ["Numéro", "Größe", "выдачи", "請求書番号"]
+    bad = [garble("Numéro", *[("utf-8", "cp1252")] * 3)] + ["выдачи".encode().decode(r, "replace") for r in ("gbk", "euc_kr")] + ["請求書番号".encode("shift_jis").decode("gbk", "replace")]
+    texts = frame(spark, CLEAN + words * 9 + bad)
+    n = len(CLEAN) + 36
+    assert {r.doc_id - n for r in M.find_garbled(texts).collect()} == set(range(len(bad)))
+    assert {r.doc_id - n: r.restored for r in M.repair(texts).collect()}[0] == "Numéro"
+
+
+def test_originals_too_many_to_broadcast(spark, monkeypatch):
+    texts = frame(spark, CLEAN + ["NumÃ©ro 17"] * 40)
+    want = sorted(r.restored for r in M.repair(texts).collect())
+    monkeypatch.setattr(M, "BROADCAST_WORDS", 0)
+    assert sorted(r.restored for r in M.repair(texts).collect()) == want == ["Numéro 17"] * 40
+
+
+def test_accuracy(spark):
+    got = {r.chain: r for r in M.accuracy(frame(spark, CLEAN)).collect()}
+    assert set(got) <= {">".join(t) for t in M.TRIALS} and sum(r.n for r in got.values()) == 8
+    assert sum(r.n_restored for r in got.values()) >= 5 and M.accuracy(frame(spark, [])).count() == 0

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope import config
-from folioscope.operators import extract, layout, quality
+from folioscope.operators import extract, layout, quality, runs
 from folioscope.operators import spans as S
-from folioscope.session import materialize
+from folioscope.session import exists, forget, materialize, replace_table
 from folioscope.sources import pdf, tables
 from folioscope.streaming import watch as stream
 
@@ -56,22 +56,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "ingest":
         spans, _ = _spans(spark, a.input, settings)
         ids = layout.layout_ids(spans).groupBy("layout_id").agg(F.count("*").alias("n_docs"))
-        try:
-            known = spark.read.parquet(settings.cache_dir)
-            ids = ids.join(known.select("layout_id"), "layout_id", "left_anti")
-        except Exception:  # noqa: BLE001 - no table yet
-            known = None
+        if exists(spark, settings.cache_dir):
+            ids = ids.join(spark.read.parquet(settings.cache_dir).select("layout_id"), "layout_id", "left_anti")
         new = materialize(ids.withColumn("cache_version", F.lit(layout.CACHE_VERSION)), "new-layouts")
         new.write.mode("append").partitionBy("cache_version").parquet(settings.cache_dir)
         print(json.dumps({"new_layouts": new.count()}))
     elif a.command == "cache":
         known = spark.read.parquet(settings.cache_dir)
         if a.action == "list":
-            known.orderBy("layout_id").show(1000, False)
+            for row in known.orderBy("layout_id").toLocalIterator():  # all of them, one partition at a time
+                print(json.dumps(row.asDict()))
         elif a.action in ("delete", "clear"):
-            keep = known.where(F.col("layout_id") != (a.layout_id or "")) if a.action == "delete" else known.limit(0)
+            keep = known.where(~F.col("layout_id").eqNullSafe(a.layout_id)) if a.action == "delete" else known.limit(0)
             kept = materialize(keep, "kept-layouts")
-            kept.write.mode("overwrite").partitionBy("cache_version").parquet(settings.cache_dir)
+            replace_table(kept, settings.cache_dir, "cache_version")
             print(json.dumps({"kept": kept.count()}))
     elif a.command == "status":
         print(json.dumps(settings.__dict__, default=list))
@@ -83,7 +81,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spans, _ = _spans(spark, a.input, settings)
         n = extract.records(spans.drop("path"), a.schema).count()
         took = time.perf_counter() - began
-        print(json.dumps({"documents": n, "seconds": round(took, 3), "documents_per_second": round(n / took, 2)}))
+        times = runs.latency_by_index(pdf.parse_times(pdf.list_files(spark, a.input)).withColumn("all", F.lit("all")), "all", "ms").collect()
+        per_file = {k: round(times[0][k], 3) for k in ("mean", "p50", "p95", "p99")} if times else {}
+        print(json.dumps({"documents": n, "seconds": round(took, 3), "documents_per_second": round(n / took, 2), "ms_per_file": per_file}))
+    forget(spark)
     return 0
 
 

@@ -93,7 +93,7 @@ def layout_notes(pairs: DataFrame, transactions: DataFrame, columns: DataFrame)
 
     kv = section(pairs, "key_value_pairs", "pair_no", F.concat(F.lit("  "), F.col("label"), F.lit(" -> "), F.col("value")))
     tx = section(transactions, "transaction_columns", "col_no", F.concat(F.lit("  "), F.col("label"), F.lit(" (key="), F.col("key"), F.lit(")")))
-    cols = section(columns, "table_columns", "col_no", F.format_string("  %s (x0=%.0f, x1=%.0f)", "header", "x0", "x1"))
+    cols = section(columns, "table_columns", "col_no", F.format_string("  %s (x0=%.0f, x1=%.0f)", "header", F.bround("x0", 0), F.bround("x1", 0)))
     every = kv.withColumn("at", F.lit(0)).unionByName(tx.withColumn("at", F.lit(1))).unionByName(cols.withColumn("at", F.lit(2)))
     g = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("s"))
     return g.select("doc_id", F.array_join("s.text", "\n\n").alias("notes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,16 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import rows, spans as S
-from folioscope.operators.schema import parse_schema
-from folioscope.session import materialize
+from folioscope.operators.schema import FALLBACK, declared_fields, inferred_fields, parse_schema
+from folioscope.session import broadcast_if_small, materialize
 
 UNKNOWN = "Unknown"
+NO_LAYOUT = "\x00"
+#: Rows up to which layouts, and their labels, are broadcast.
+BROADCAST_LAYOUTS, BROADCAST_LABELS = 200_000, 500_000
+#: Gives (doc_id, name, kind) of the fields of documents from their spans: what stands in for a schema
+#: provider of any kind, such as a language model behind a service.
+Discover = Callable[[DataFrame], DataFrame]
 
 
 def label_values(spans: DataFrame, labels: list[str]) -> DataFrame:
@@ -100,6 +107,74 @@ def records(spans: DataFrame, schema_json: str) -> DataFrame:
     return out.select("doc_id", "fields", listed.alias("arrays"), "confidence")
 
 
+def label_of(name: Column) -> Column:
+    """The label that a field is looked up by: its words with capitals, and a colon."""
+    words = F.split(F.replace(name, F.lit("_"), F.lit(" ")), " ")
+    return F.concat(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " "), F.lit(":"))
+
+
+def route(spans: DataFrame, docs: DataFrame, manifests: DataFrame, discover: Discover | None = None) -> DataFrame:
+    """(layout_id, was_cached, field) of the scalar fields by which the documents of each layout are read: those of
+    the layout's latest manifest or, for layouts without one, those that ``discover`` gives for the layout's
+    first document. docs(doc_id, layout_id); manifests(layout_id, manifest_no, schema_json). A schema that
+    can't be read or has no field, and documents without layout, have the three fallback fields."""
+    discover = discover or inferred_fields
+    last = manifests.where("layout_id IS NOT NULL").groupBy("layout_id").agg(F.max_by("schema_json", "manifest_no").alias("schema_json"))
+    last = materialize(last, "routes")
+    declared = declared_fields(last, "layout_id").where("label = '' AND kind != 'array' AND NOT contains(field, '.')").select("layout_id", "field")
+    new = docs.where("layout_id IS NOT NULL").join(broadcast_if_small(last.select("layout_id"), BROADCAST_LAYOUTS), "layout_id", "left_anti")
+    first = materialize(new.groupBy("layout_id").agg(F.min("doc_id").alias("doc_id")), "new-layouts")
+    few = broadcast_if_small(first, BROADCAST_LAYOUTS)
+    found = discover(spans.join(few.select("doc_id"), "doc_id", "left_semi")).where("kind != 'array'").select("doc_id", F.col("name").alias("field"))
+    found = found.join(first, "doc_id").select("layout_id", "field")
+    cached = last.select("layout_id", F.lit(True).alias("was_cached"))
+    layouts = cached.unionByName(first.select("layout_id", F.lit(False).alias("was_cached"))).unionByName(
+        docs.where("layout_id IS NULL").select("layout_id", F.lit(False).alias("was_cached")).distinct()
+    )
+    fields = declared.unionByName(found).distinct().withColumnRenamed("layout_id", "l")
+    usual = F.explode(F.array(*(F.lit(x) for x in FALLBACK)))
+    own = layouts.join(fields, F.col("layout_id") == F.col("l"), "left").drop("l")
+    return own.where("field IS NOT NULL").unionByName(own.where("field IS NULL").withColumn("field", usual))
+
+
+def routed_fields(spans: DataFrame, docs: DataFrame, routes: DataFrame) -> DataFrame:
+    """(doc_id, layout_id, was_cached, field, value, confidence): every document of docs(doc_id, layout_id) read by
+    the fields of its own layout, as ``label_values`` does for one list of labels. Labels end in their only colon."""
+    routes = materialize(routes, "routes")
+    n_routes = routes.count()
+    same_layout = F.coalesce("layout_id", F.lit(NO_LAYOUT))
+    by_label = routes.groupBy(same_layout.alias("l"), F.lower(T.trim(label_of(F.col("field")))).alias("key")).agg(F.collect_set("field").alias("fields"))
+    t = T.trim("text")
+    marked = spans.withColumn("tt", t).withColumn("key", F.when(F.col("tt").contains(":"), F.lower(F.concat(F.substring_index("tt", ":", 1), F.lit(":")))))
+    marked = marked.join(docs.select("doc_id", same_layout.alias("l")), "doc_id").join(broadcast_if_small(by_label, BROADCAST_LABELS, n_routes), ["l", "key"], "left")
+    marked = marked.withColumn("t", F.when(F.col("fields").isNotNull(), F.col("tt")))
+    same = F.lower("t") == F.col("key")
+    lines = S.beside_texts(marked, same, ("right",), ["t", "key", "fields"]).where("fields IS NOT NULL")
+    cand = lines.select(
+        "doc_id", "span_idx", F.nullif("right", F.lit("")).alias("right"), same.alias("same"), F.nullif(T.colon_value(F.col("t")), F.lit("")).alias("inline"), F.explode("fields").alias("field")
+    )
+    best = cand.groupBy("doc_id", "field").agg(
+        F.min_by(F.struct("right"), F.when(F.col("same"), F.col("span_idx"))).alias("first"),
+        F.min_by("right", F.when(F.col("same") & F.col("right").isNotNull(), F.col("span_idx"))).alias("any"),
+        F.min_by("inline", F.when(F.col("inline").isNotNull(), F.col("span_idx"))).alias("inline"),
+    )
+    exact = F.coalesce("first.right", "any")
+    best = best.select("doc_id", "field", F.coalesce(exact, F.col("inline")).alias("value"), F.when(exact.isNotNull(), "exact").when(F.col("inline").isNotNull(), "heuristic").alias("how"))
+    wanted = docs.withColumn("l", same_layout).join(
+        broadcast_if_small(routes.select(same_layout.alias("l"), "was_cached", "field"), BROADCAST_LABELS, n_routes), "l"
+    )
+    return wanted.join(best, ["doc_id", "field"], "left").select(
+        "doc_id", "layout_id", "was_cached", "field", F.coalesce("value", F.lit(UNKNOWN)).alias("value"), F.coalesce("how", F.lit("fuzzy")).alias("confidence")
+    )
+
+
+def within(records_: DataFrame, json_col: str, max_bytes: int = 10 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
+    """Records whose JSON has at most so many bytes, and the others as dead letters (with ``error``)."""
+    size = F.coalesce(F.octet_length(json_col), F.lit(0))
+    over = records_.where(size > max_bytes)
+    return records_.where(size <= max_bytes), over.select(*[c for c in over.columns if c != json_col], F.format_string("result of %d bytes is over %d", size, F.lit(max_bytes)).alias("error"))
+
+
 def union_table(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One wide table of fields(doc_id, field, value): a text column for every field name of any
     document, in order, null where a document lacks it. The names are the schema's; when not given

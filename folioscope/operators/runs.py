@@ -97,3 +97,14 @@ def pair_hits(pairs: DataFrame, expected: DataFrame) -> DataFrame:
 
 def token_estimates(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+def record_counts(records: DataFrame, key: str) -> DataFrame:
+    """(key, n_scalars, n_structured, n_transactions) of records(key, fields map of variants): what a summary counts.
+    Records without any field are left out."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    n = F.size(F.filter(F.map_values("fields"), lambda v: kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY")))
+    list_ = F.to_json(F.try_element_at("fields", F.lit("transactions")))
+    rows = F.coalesce(F.json_array_length(F.when(list_.startswith("["), list_)), F.lit(0))
+    out = records.where(F.size("fields") > 0)
+    return out.select(key, (F.size("fields") - n).cast("long").alias("n_scalars"), n.cast("long").alias("n_structured"), rows.cast("long").alias("n_transactions"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import quality, rows
+from folioscope.operators.schema_drift import manifest_fields
 
 TYPE_TOLERANCE = 14.0
 FALLBACK = {"invoice_number": "string", "date": "string", "total": "string"}
@@ -85,9 +88,16 @@ def parse_schema(schema_json: str) -> list[dict]:
     return out
 
 
-def manifest_fields(manifests: DataFrame) -> DataFrame:
-    """(manifest_id, name, kind) of schemas that are plain JSON objects, read with VARIANT."""
-    v = manifests.select("manifest_id", F.try_parse_json("schema_json").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    v.createOrReplaceTempView("_folioscope_schemas")
-    sql = "SELECT manifest_id, e.key AS name, coalesce(try_variant_get(e.value, '$.type', 'string'), try_variant_get(e.value, '$', 'string')) AS kind FROM _folioscope_schemas, LATERAL variant_explode(v) AS e"
-    return manifests.sparkSession.sql(sql).select("manifest_id", "name", F.lower("kind").alias("kind"))
+def declared_fields(schemas: DataFrame, key: str) -> DataFrame:
+    """(key, field, kind, label) of the fields declared by schemas(key, schema_json) in any of their JSON shapes;
+    columns of array fields are ``array.key`` without kind and with their label. Unreadable schemas give nothing."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *f) for i, text in enumerate(batch.column(1).to_pylist()) for f in manifest_fields(text) or ()]
+            at, *columns = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], names=[key, "field", "kind", "label"]
+            )
+
+    return schemas.select(key, "schema_json").mapInArrow(read, f"{key} {dict(schemas.dtypes)[key]}, field string, kind string, label string")

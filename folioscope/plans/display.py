@@ -9,12 +9,14 @@ from folioscope.functions import display
 from folioscope.functions import text as T
 from folioscope.operators import extract, rows
 from folioscope.operators import spans as S
-from folioscope.plans.extraction import _INVOICE, _PAIRS, _SCHEMA, _THREE, _statements, field_scores, invoices
+from folioscope.plans.extraction import _GROUPS, _INVOICE, _PAIRS, _ROWS, _SCHEMA, _TABLES, _TCOLS, _THREE, _statements, field_scores, invoices
+from folioscope.plans.extraction import ORACLE as EXTRACTION
 from folioscope.plans.layout import BASE, _spans, q_trim
-from folioscope.session import table
+from folioscope.session import materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+SCORES = EXTRACTION["field_scores"]
 
 
 def query(sql: str | None = None):
@@ -64,13 +66,15 @@ def split_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '```json\n' || title || '\n```' WHEN 1 THEN 'Here: ```rust\n' || title || '``` and ```x```' WHEN 2 THEN '```' || title || '``` end' ELSE title END AS a, title FROM documents WHERE title IS NOT NULL AND NOT contains(title, '`') AND title = {q_trim('title')})
-    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN trim(title) WHEN 1 THEN 'Here: ```rust\n' || title || '``` and ```x' WHEN 2 THEN trim(title) || '``` end' ELSE trim(title) END AS cleaned, CASE doc_id % 4 WHEN 0 THEN 'json\n' || title ELSE trim(title) END AS code FROM t"""
+    f"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '```json\n' || title || '\n```' WHEN 1 THEN 'Here: ```rust\n' || title || '``` and ```x```' WHEN 2 THEN '```' || title || '``` end' ELSE title END AS a FROM documents WHERE title IS NOT NULL)
+    SELECT doc_id, {q_trim(f"regexp_replace({q_trim('a')}, '^(?:```json)*(?:```)*|(?:```)+\\z', '', 'g')")} AS cleaned,
+      {q_trim("CASE WHEN regexp_matches(a, '```rust.*?```', 's') THEN regexp_extract(a, '```rust(.*?)```', 1, 's') WHEN regexp_matches(a, '```.*?```', 's') THEN regexp_extract(a, '```(.*?)```', 1, 's') ELSE a END")} AS code FROM t"""
 )
 def answer_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Answers made of every title, fenced in four ways."""
     t, k = F.col("title"), F.col("doc_id") % 4
     answer = F.when(k == 0, F.concat(F.lit("```json\n"), t, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here: ```rust\n"), t, F.lit("``` and ```x```"))).when(k == 2, F.concat(F.lit("```"), t, F.lit("``` end"))).otherwise(t)
-    docs = table(spark, d, "documents").where("title IS NOT NULL AND NOT contains(title, '`')").where(t == T.trim(t)).select("doc_id", answer.alias("a"))
+    docs = table(spark, d, "documents").where("title IS NOT NULL").select("doc_id", answer.alias("a"))
     return docs.select("doc_id", display.strip_fences(F.col("a")).alias("cleaned"), display.code_block(F.col("a")).alias("code"))
 
 
@@ -86,23 +90,19 @@ def statement_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {BASE}, {_PAIRS} SELECT doc_id, 'key_value_pairs:' || chr(10) || string_agg('  ' || label || ' -> ' || value, chr(10) ORDER BY pair_no) AS notes FROM kv GROUP BY doc_id"""
+    f"""WITH RECURSIVE {BASE}, {_PAIRS}, {_TCOLS}, {_GROUPS.removeprefix(_ROWS + ", ")}, {_TABLES},
+    parts AS (SELECT doc_id, 0 AS part, 'key_value_pairs:' || chr(10) || string_agg('  ' || label || ' -> ' || value, chr(10) ORDER BY pair_no) AS text FROM kv GROUP BY doc_id
+      UNION ALL SELECT doc_id, 1, 'transaction_columns:' || chr(10) || string_agg('  ' || label || ' (key=' || key || ')', chr(10) ORDER BY col_no) FROM tc GROUP BY doc_id
+      UNION ALL SELECT doc_id, 2, 'table_columns:' || chr(10) || string_agg(printf('  %s (x0=%.0f, x1=%.0f)', header, x0, x1), chr(10) ORDER BY col_no) FROM hd JOIN ext USING (doc_id, col_no) WHERE lettered > 0 GROUP BY doc_id)
+    SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY part) AS notes FROM parts GROUP BY doc_id"""
 )
 def layout_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of the documents' pairs; transactions and columns are left out here and tested apart."""
-    s = _spans(spark, d)
-    none = rows.transaction_columns(s.limit(0))
-    return display.layout_notes(rows.key_values(s), none, rows.table_columns(s.limit(0)))
-
-
-@query()
-def layout_notes_whole(spark: SparkSession, d: str) -> DataFrame:
     """Notes of the documents' pairs, transaction columns and table columns."""
-    s = _spans(spark, d)
+    s = materialize(_spans(spark, d), "notes-spans")
     return display.layout_notes(rows.key_values(s), rows.transaction_columns(s), rows.table_columns(s))
 
 
-@query()
+@query(f"SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, count(*) AS n FROM ({SCORES})")
 def mean_field_scores(spark: SparkSession, d: str) -> DataFrame:
     s = field_scores(spark, d)
     return s.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.count("*").alias("n"))

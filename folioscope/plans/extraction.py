@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import extract, rows, runs, schema
-from folioscope.plans.layout import _FONTS, BASE, GRAPH, WS, _spans, q_trim
+from folioscope.plans.layout import _FONTS, BASE, GRAPH, NEAREST, WS, _spans, q_trim
 from folioscope.session import table
 
 QUERIES: dict = {}
@@ -64,9 +64,29 @@ def key_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.key_values(_spans(spark, d))
 
 
-@query(f"WITH RECURSIVE {BASE}, {_PAIRS} SELECT doc_id, row_no, label, value FROM pr WHERE toc")
+_CONTENTS = """s AS (SELECT s_suppkey AS doc_id, (i * 2 + k)::INT AS span_idx,
+    CASE WHEN k = 0 THEN CASE i % 5 WHEN 0 THEN 'Introduction' WHEN 1 THEN 'Chapter ' || i WHEN 2 THEN 'Total:' WHEN 3 THEN 'Printed' ELSE s_name END
+      ELSE CASE i % 5 WHEN 3 THEN '2026-05-23' ELSE ((s_suppkey * 7 + i * 1301) % 12000)::VARCHAR END END AS text,
+    (CASE WHEN k = 0 THEN 50 ELSE 400 END)::DOUBLE AS x0, (i * 20)::DOUBLE AS y0, (CASE WHEN k = 0 THEN 150 ELSE 430 END)::DOUBLE AS x1, (i * 20 + 12)::DOUBLE AS y1, 1 AS page, 10.0 AS font_size, false AS is_bold
+  FROM supplier, range(12) t(i), range(2) u(k))"""
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    """A table of contents of each supplier: titles and numbers, some of them no page numbers."""
+    i, k = F.col("i"), F.col("k")
+    title = F.when(i % 5 == 0, "Introduction").when(i % 5 == 1, F.concat(F.lit("Chapter "), i.cast("string"))).when(i % 5 == 2, "Total:").when(i % 5 == 3, "Printed").otherwise(F.col("s_name"))
+    number = F.when(i % 5 == 3, F.lit("2026-05-23")).otherwise(((F.col("s_suppkey") * 7 + i * 1301) % 12000).cast("string"))
+    lines = table(spark, d, "supplier").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    left, y = k == 0, (i * 20).cast("double")
+    return lines.select(
+        F.col("s_suppkey").alias("doc_id"), (i * 2 + k).alias("span_idx"), F.when(left, title).otherwise(number).alias("text"), F.when(left, 50.0).otherwise(400.0).alias("x0"), y.alias("y0"),
+        F.when(left, 150.0).otherwise(430.0).alias("x1"), (y + 12).alias("y1"), F.lit(1).alias("page"), F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"),
+    )
+
+
+@query(f"WITH RECURSIVE {_CONTENTS}, {_PAIRS} SELECT doc_id, row_no, label, value FROM pr WHERE toc")
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
-    return rows.all_pairs(_spans(spark, d)).where("toc").drop("toc")
+    return rows.all_pairs(_contents(spark, d)).where("toc").drop("toc")
 
 
 _GROUPS = f"""{_ROWS}, z AS (SELECT *, {q_trim('text')} AS t, row_number() OVER w AS pos, coalesce(x0 - lag(x1) OVER w >= 10, true) AS starts FROM r WINDOW w AS (PARTITION BY doc_id, row_no ORDER BY x0, y0, span_idx)),
@@ -79,8 +99,7 @@ def row_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", "row_no", F.array_join(F.transform("boundaries", lambda x: x.cast("string")), " ").alias("boundaries"))
 
 
-@query(
-    f"""WITH RECURSIVE {BASE}, {_GROUPS}, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM b),
+_TABLES = f"""m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM b),
     ff AS (SELECT doc_id, k, row_no, [boundaries] AS heads, 1 AS cluster FROM m WHERE k = 1 AND n >= 3 UNION ALL
       SELECT m.doc_id, m.k, m.row_no, CASE WHEN fit IS NULL THEN list_append(heads, m.boundaries) ELSE heads END, coalesce(fit, len(heads) + 1)
       FROM (SELECT m.*, ff.heads, list_filter(range(1, len(heads) + 1), lambda i: len(heads[i]) = len(m.boundaries) AND len(list_filter(range(1, len(m.boundaries) + 1), lambda j: abs(heads[i][j] - m.boundaries[j]) > 6)) = 0)[1] AS fit
@@ -89,9 +108,10 @@ def row_boundaries(spark: SparkSession, d: str) -> DataFrame:
     best AS (SELECT doc_id, arg_max(cluster, (n, -cluster)) AS cluster, arg_max(head, (n, -cluster)) AS head FROM sz GROUP BY doc_id),
     cells AS (SELECT z.*, pos - 1 AS col_no, head FROM z JOIN ff USING (doc_id, row_no) JOIN best ON best.doc_id = z.doc_id AND best.cluster = ff.cluster),
     ext AS (SELECT doc_id, col_no, min(x0) AS x0, max(x1) AS x1 FROM cells GROUP BY ALL),
-    hd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, pos) - 1 AS col_no, t AS header, count(*) FILTER (regexp_matches(t, '{_LETTER}')) OVER (PARTITION BY doc_id) AS lettered FROM cells WHERE row_no = head)
-    SELECT doc_id, col_no::INT AS col_no, header, x0, x1 FROM hd JOIN ext USING (doc_id, col_no) WHERE lettered > 0"""
-)
+    hd AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, pos) - 1 AS col_no, t AS header, count(*) FILTER (regexp_matches(t, '{_LETTER}')) OVER (PARTITION BY doc_id) AS lettered FROM cells WHERE row_no = head)"""
+
+
+@query(f"WITH RECURSIVE {BASE}, {_GROUPS}, {_TABLES} SELECT doc_id, col_no::INT AS col_no, header, x0, x1 FROM hd JOIN ext USING (doc_id, col_no) WHERE lettered > 0")
 def table_columns(spark: SparkSession, d: str) -> DataFrame:
     return rows.table_columns(_spans(spark, d)).withColumn("col_no", F.col("col_no").cast("int"))
 
@@ -302,24 +322,89 @@ def inferred_schemas(spark: SparkSession, d: str) -> DataFrame:
     return schema.inferred_schemas(_spans(spark, d))
 
 
+_LOW = f"array_to_string(list_filter(regexp_split_to_array(lower(label), '[{WS}]+'), lambda w: w <> ''), ' ')"
+_KEY = f"CASE low {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.HEADER_KEYS.items())} ELSE array_to_string(list_filter(regexp_split_to_array(low, '[^\\p{{L}}\\p{{N}}]'), lambda w: w <> ''), '_') END"
+_TCOLS = f"""dts AS (SELECT doc_id, x0, y0, span_idx FROM s WHERE {_ISDATE}),
+    fx AS (SELECT doc_id, arg_min(x0, span_idx) AS first_x FROM dts GROUP BY doc_id HAVING count(*) >= 3),
+    tops AS (SELECT doc_id, max(y0) AS top FROM dts JOIN fx USING (doc_id) WHERE abs(x0 - first_x) < 20 GROUP BY doc_id HAVING count(*) >= 3),
+    th0 AS (SELECT doc_id, y0, span_idx, {q_trim('text')} AS label FROM s JOIN tops USING (doc_id) WHERE y0 > top AND y0 <= top + 40 AND x0 >= 20),
+    th1 AS (SELECT doc_id, y0, span_idx, label, {_KEY} AS key FROM (SELECT *, {_LOW} AS low FROM th0 WHERE label <> '')),
+    th2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY y0, span_idx) AS k FROM th1 WHERE key IN {T.TRANSACTION_KEYS!r}),
+    th3 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, bool_or(key = 'date') OVER (PARTITION BY doc_id) AS dated FROM th2 WHERE k = 1),
+    tc AS (SELECT doc_id, label, key, row_number() OVER (PARTITION BY doc_id ORDER BY y0, span_idx) AS col_no FROM th3 WHERE n >= 3 AND dated)"""
+
+
 @query(
-    f"""WITH {_STATEMENT}, dd AS (SELECT DISTINCT doc_id FROM s) SELECT doc_id, 'client_name' AS name, 'string' AS kind, '' AS keys FROM dd UNION ALL SELECT doc_id, 'segment', 'string', '' FROM dd
-    UNION ALL SELECT doc_id, 'transactions', 'array', 'amount balance date narration' FROM dd"""
+    f"""WITH RECURSIVE {_INFER}, {_TCOLS}, ta AS (SELECT doc_id, string_agg(key, ' ' ORDER BY key) AS keys FROM tc GROUP BY doc_id)
+    SELECT doc_id, name, kind, '' AS keys FROM inf WHERE name <> 'transactions' OR doc_id NOT IN (SELECT doc_id FROM ta) UNION ALL SELECT doc_id, 'transactions', 'array', keys FROM ta"""
 )
 def discovered_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of the statements: the scalars, and transactions with its columns. Pairs of table cells are left out here."""
-    f = schema.discovered_fields(_statements(spark, d)).where("name IN ('client_name', 'segment', 'transactions')")
+    """Every field found in the spans: labels, pairs, and transactions with their columns."""
+    f = schema.discovered_fields(_spans(spark, d))
     return f.select("doc_id", "name", "kind", F.coalesce(F.array_join(F.array_sort(F.map_values("columns")), " "), F.lit("")).alias("keys"))
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT manifest_id, schema_json::JSON AS j FROM layout_manifests WHERE json_valid(schema_json)),
-    k AS (SELECT manifest_id, unnest(json_keys(j)) AS name, j FROM m WHERE json_type(j) = 'OBJECT')
-    SELECT manifest_id, name, lower(CASE WHEN json_type(json_extract(j, '$."' || name || '"')) = 'OBJECT' THEN json_extract_string(j, '$."' || name || '".type') ELSE json_extract_string(j, '$."' || name || '"') END) AS kind FROM k"""
+    f"""WITH RECURSIVE {_STATEMENT}, {_TCOLS} SELECT doc_id, string_agg(label || '=' || key, ' ' ORDER BY col_no) AS columns FROM tc GROUP BY doc_id"""
 )
+def statement_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the statements' transactions, in their order."""
+    t = rows.transaction_columns(_statements(spark, d))
+    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col_no", F.concat("label", F.lit("="), "key").alias("c")))).alias("c"))
+    return g.select("doc_id", F.array_join("c.c", " ").alias("columns"))
+
+
+# declared fields of a table ``given``(id, j) of schemas, in all their shapes
+_DECLARED = """df1 AS (SELECT id, unnest(json_keys(j)) AS name, j FROM given WHERE json_type(j) = 'OBJECT'),
+    df2 AS (SELECT id, name, json_extract(j, '$."' || name || '"') AS spec FROM df1 UNION ALL SELECT id, e->>'$.name', e FROM (SELECT id, unnest(json_extract(j, '$[*]')) AS e FROM given WHERE json_type(j) = 'ARRAY')),
+    df3 AS (SELECT DISTINCT id, name, lower(trim(CASE WHEN json_type(spec) = 'OBJECT' THEN coalesce(spec->>'$.type', '') ELSE spec->>'$' END)) AS kind, CASE WHEN json_type(spec) = 'OBJECT' THEN json_extract(spec, '$.columns') END AS cols FROM df2),
+    df4 AS (SELECT id, name, cols, unnest(json_keys(cols)) AS label FROM df3 WHERE json_type(cols) = 'OBJECT'),
+    declared AS (SELECT id, name AS field, kind, '' AS label FROM df3 UNION ALL SELECT id, name || '.' || json_extract_string(cols, '$."' || label || '"'), '', label FROM df4)"""
+
+
+@query(f"WITH given AS (SELECT DISTINCT manifest_id AS id, schema_json::JSON AS j FROM layout_manifests WHERE json_valid(schema_json)), {_DECLARED} SELECT id AS manifest_id, field, kind, label FROM declared")
 def manifest_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of the manifests' schemas in all their shapes, with the columns of array fields."""
     m = table(spark, d, "layout_manifests").select("manifest_id", "schema_json").distinct()
-    return schema.manifest_fields(m)
+    return schema.declared_fields(m, "manifest_id")
+
+
+#: Layouts compiled before this time are known when the documents come in.
+_KNOWN = "created_at < '2024-07-01'"
+_ROUTES = f"""lay AS (SELECT doc_id, min(layout_id) AS layout_id FROM spans GROUP BY doc_id),
+    known AS (SELECT layout_id, arg_max(schema_json, manifest_no) AS schema_json FROM layout_manifests WHERE {_KNOWN} GROUP BY layout_id),
+    given AS (SELECT layout_id AS id, schema_json::JSON AS j FROM known WHERE json_valid(schema_json)), {_DECLARED},
+    fresh AS (SELECT layout_id, min(doc_id) AS doc_id FROM lay WHERE layout_id NOT IN (SELECT layout_id FROM known) GROUP BY layout_id),
+    lf AS (SELECT id AS layout_id, true AS was_cached, field FROM declared WHERE label = '' AND kind <> 'array' UNION ALL SELECT fresh.layout_id, false, name FROM fresh JOIN inf USING (doc_id)),
+    lb AS (SELECT *, array_to_string(list_transform(string_split(replace(field, '_', ' '), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') || ':' AS label FROM lf)"""
+
+
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = _spans(spark, d)
+    docs = table(spark, d, "spans").groupBy("doc_id").agg(F.min("layout_id").alias("layout_id"))
+    return s, docs, extract.route(s, docs, table(spark, d, "layout_manifests").where(_KNOWN))
+
+
+@query(f"WITH RECURSIVE {_INFER}, {_ROUTES} SELECT layout_id, was_cached, field FROM lf")
+def layout_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The fields each layout is read by: of its manifest where it is known, else of its first document."""
+    return _routes(spark, d)[2]
+
+
+_RIGHT = f"nx AS (SELECT e.doc_id, e.span_idx, t.text AS right_t FROM ({NEAREST['right']}) e JOIN s t ON t.doc_id = e.doc_id AND t.span_idx = e.neighbour_idx)"
+
+
+@query(
+    f"""WITH RECURSIVE {_INFER}, {_RIGHT}, {_ROUTES},
+    lc AS (SELECT s.doc_id, s.span_idx, lb.field, lb.label, {q_trim('s.text')} AS t, nullif(right_t, '') AS right_t FROM s LEFT JOIN nx USING (doc_id, span_idx) JOIN lay ON lay.doc_id = s.doc_id JOIN lb USING (layout_id)),
+    lv AS (SELECT doc_id, field, arg_min_null(right_t, span_idx) FILTER (lower(t) = lower(label)) AS a, arg_min(right_t, span_idx) FILTER (lower(t) = lower(label) AND right_t IS NOT NULL) AS b,
+      arg_min(nullif({q_trim("substr(t, strpos(t, ':') + 1)")}, ''), span_idx) FILTER (starts_with(lower(t), lower(label)) AND {q_trim("substr(t, strpos(t, ':') + 1)")} <> '') AS i FROM lc GROUP BY ALL)
+    SELECT lay.doc_id, lay.layout_id, was_cached, lb.field, coalesce(a, b, i, 'Unknown') AS value, CASE WHEN coalesce(a, b) IS NOT NULL THEN 'exact' WHEN i IS NOT NULL THEN 'heuristic' ELSE 'fuzzy' END AS confidence
+    FROM lay JOIN lb USING (layout_id) LEFT JOIN lv ON lv.doc_id = lay.doc_id AND lv.field = lb.field"""
+)
+def routed_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read by the schema of its own layout."""
+    return extract.routed_fields(*_routes(spark, d))
 
 
 # ---------------------------------------------------------------- records
@@ -335,26 +420,33 @@ def record_columns(spark: SparkSession, d: str) -> DataFrame:
     return extract.json_columns(r, "fields_json", ["invoice_number", "date", "currency"])
 
 
-_KINDS = ["account_number", "amount_due", "date", "invoice_number", "total"]
+@query()
+def records_union(spark: SparkSession, d: str) -> DataFrame:
+    """All readable records in one table over the union of all their top-level fields."""
+    return extract.union_records(table(spark, d, "extracted_records").select(F.col("record_id").alias("doc_id"), "fields_json"))
 
 
 @query(
-    f"""WITH r AS (SELECT DISTINCT record_id, fields_json::JSON AS j FROM extracted_records WHERE json_valid(fields_json)), f AS (SELECT record_id, unnest({_KINDS!r}) AS k, j FROM r),
-    v AS (SELECT record_id, {', '.join(f"max(j->>'$.{k}') AS {k}" for k in _KINDS)} FROM r GROUP BY record_id) SELECT record_id AS doc_id, * EXCLUDE (record_id) FROM v WHERE coalesce({', '.join(_KINDS)}) IS NOT NULL"""
+    """WITH r AS (SELECT DISTINCT record_id, fields_json::JSON AS j FROM extracted_records WHERE json_valid(fields_json)), k AS (SELECT record_id, j, unnest(json_keys(j)) AS name FROM r WHERE json_type(j) = 'OBJECT')
+    SELECT name, count(*) AS n_records, count(*) FILTER (json_type(json_extract(j, '$."' || name || '"')) <> 'NULL') AS n_filled FROM k GROUP BY name"""
 )
-def records_union(spark: SparkSession, d: str) -> DataFrame:
-    """Records of many layouts in one table over the union of some of their fields."""
-    r = table(spark, d, "extracted_records").select(F.col("record_id").alias("doc_id"), "fields_json").distinct()
-    f = r.where(F.try_parse_json("fields_json").isNotNull()).select(
-        "doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.get_json_object("fields_json", f"$.{k}").alias("value")) for k in _KINDS))).alias("f")
-    )
-    return extract.union_table(f.select("doc_id", "f.*").where("value IS NOT NULL"), _KINDS)
+def records_union_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the union of all records, in how many records each is and in how many it is filled."""
+    r = table(spark, d, "extracted_records").select("record_id", "fields_json").distinct().where(F.try_parse_json("fields_json").isNotNull())
+    f = r.select(F.explode(F.from_json("fields_json", "map<string,string>")).alias("name", "value"))
+    return f.groupBy("name").agg(F.count("*").alias("n_records"), F.count("value").alias("n_filled"))
 
 
-@query()
-def records_union_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All readable records in one table over the union of all their top-level fields."""
-    return extract.union_records(table(spark, d, "extracted_records").select(F.col("record_id").alias("doc_id"), "fields_json"))
+@query(
+    """WITH r AS (SELECT DISTINCT record_id, fields_json::JSON AS j FROM extracted_records WHERE json_valid(fields_json)), k AS (SELECT record_id, j, unnest(json_keys(j)) AS name FROM r WHERE json_type(j) = 'OBJECT'),
+    t AS (SELECT record_id, json_type(json_extract(j, '$."' || name || '"')) AS kind FROM k)
+    SELECT record_id, count(*) FILTER (kind NOT IN ('OBJECT', 'ARRAY')) AS n_scalars, count(*) FILTER (kind IN ('OBJECT', 'ARRAY')) AS n_structured, coalesce((SELECT json_array_length(j, '$.transactions') FROM r WHERE r.record_id = t.record_id), 0)::BIGINT AS n_transactions FROM t GROUP BY record_id"""
+)
+def record_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Scalars, structured fields and transactions of each record."""
+    r = table(spark, d, "extracted_records").select("record_id", "fields_json").distinct().where(F.try_parse_json("fields_json").isNotNull())
+    kinds = F.from_json("fields_json", "map<string,variant>")
+    return runs.record_counts(r.withColumn("fields", kinds), "record_id")
 
 
 @query(

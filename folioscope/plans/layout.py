@@ -12,6 +12,7 @@ from folioscope.functions import text as T
 from folioscope.operators import layout, quality
 from folioscope.operators import spans as S
 from folioscope.session import table
+from folioscope.sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,10 +142,10 @@ def truncated_spans(spark: SparkSession, d: str) -> DataFrame:
     return S.truncate(_spans(spark, d), 12).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("span_idx").alias("last"))
 
 
-@query(f"WITH {BASE} SELECT doc_id, span_idx, text, x0, y1, page, font_size, is_bold FROM s WHERE page IS NOT NULL")
+@query(f"WITH {BASE} SELECT doc_id, span_idx, text, x0, y1, page, font_size, is_bold FROM s")
 def spans_from_json(spark: SparkSession, d: str) -> DataFrame:
     """Spans written to one JSON array per document and read back."""
-    s = _spans(spark, d).where("page IS NOT NULL")
+    s = _spans(spark, d)
     packed = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("span_idx", "text", "x0", "y0", "x1", "y1", "page", "font_size", "is_bold"))).alias("a"))
     back = S.spans_from_json(packed.select("doc_id", F.to_json(F.transform("a", lambda x: x.dropFields("span_idx"))).alias("spans_json"), F.col("a.span_idx").alias("at")).drop("at"))
     order = s.select("doc_id", "span_idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("span_idx")) - 1).alias("at"))
@@ -225,7 +226,9 @@ def new_layouts(spark: SparkSession, d: str) -> DataFrame:
     return layout.layout_ids(_spans(spark, d)).groupBy("layout_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-_CURRENT = """cur AS (SELECT layout_id, arg_max(cache_version, manifest_no) AS v, max(manifest_no) AS manifest_no FROM layout_manifests GROUP BY layout_id),
+#: The manifests that are in the cache when the documents come in.
+_KNOWN = "created_at < '2024-07-01'"
+_CURRENT = f"""cur AS (SELECT layout_id, arg_max(cache_version, manifest_no) AS v, max(manifest_no) AS manifest_no FROM layout_manifests WHERE {_KNOWN} GROUP BY layout_id),
   docs AS (SELECT DISTINCT doc_id, layout_id FROM spans)"""
 
 
@@ -234,18 +237,22 @@ def current_layouts(spark: SparkSession, d: str) -> DataFrame:
     return layout.current_layouts(table(spark, d, "layout_manifests"))
 
 
+def _cached(spark: SparkSession, d: str) -> DataFrame:
+    return layout.current_layouts(table(spark, d, "layout_manifests").where(_KNOWN))
+
+
 def _doc_layouts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "spans").select("doc_id", "layout_id").distinct()
 
 
 @query(f"WITH {_CURRENT} SELECT doc_id, layout_id FROM docs WHERE EXISTS (SELECT 1 FROM cur WHERE cur.layout_id = docs.layout_id AND v = 3)")
 def cached_documents(spark: SparkSession, d: str) -> DataFrame:
-    return layout.cache_split(_doc_layouts(spark, d), current_layouts(spark, d))[0].select("doc_id", "layout_id")
+    return layout.cache_split(_doc_layouts(spark, d), _cached(spark, d))[0].select("doc_id", "layout_id")
 
 
 @query(f"WITH {_CURRENT} SELECT doc_id, layout_id FROM docs WHERE NOT EXISTS (SELECT 1 FROM cur WHERE cur.layout_id = docs.layout_id AND v = 3)")
 def uncached_documents(spark: SparkSession, d: str) -> DataFrame:
-    return layout.cache_split(_doc_layouts(spark, d), current_layouts(spark, d))[1].select("doc_id", "layout_id")
+    return layout.cache_split(_doc_layouts(spark, d), _cached(spark, d))[1].select("doc_id", "layout_id")
 
 
 _ARTIFACTS = """art AS (
@@ -478,3 +485,41 @@ def ocr_reasons(spark: SparkSession, d: str) -> DataFrame:
 def page_sampling(spark: SparkSession, d: str) -> DataFrame:
     pages = F.transform(quality.sample_pages(1 + F.col("doc_id") % 40), lambda p: p.cast("string"))
     return table(spark, d, "documents").select("doc_id", F.array_join(pages, " ").alias("pages"))
+
+
+# ---------------------------------------------------------------- pages of real files
+
+
+def _pdfs(spark: SparkSession, d: str) -> DataFrame:
+    """A PDF file of each document: 45 lines a page, the first in bold, and every third page of every fourth document blank."""
+    docs = table(spark, d, "documents").repartition("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    cell = lambda n: F.struct(
+        F.lit(50.0).alias("x"), (750.0 - 15 * n.cast("double")).alias("y"), F.lit(10.0).alias("size"), F.col("line").alias("text"), (F.col("i") == 0).alias("bold")
+    )
+    at = lines.select("doc_id", (1 + F.floor(F.col("i") / 45)).cast("int").alias("sheet"), "i", cell(F.col("i") % 45).alias("s"))
+    blank = (F.col("doc_id") % 4 == 0) & (F.col("sheet") % 3 == 0)
+    pages = at.groupBy("doc_id", "sheet").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("l"))
+    pages = pages.select("doc_id", F.col("sheet").alias("page"), F.when(blank, F.array().cast("array<struct<x:double,y:double,size:double,text:string,bold:boolean>>")).otherwise(F.col("l.s")).alias("spans"))
+    return pdf.made_pdfs(pages, "doc_id")
+
+
+_SIMPLE = "[^\\x00-\\x7f\\xa0-\\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_LINES = f"""ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+  kept AS (SELECT doc_id, i, (1 + i // 45)::INT AS page, regexp_replace(line, '{_SIMPLE}', '?', 'g') AS text FROM ln WHERE NOT (doc_id % 4 = 0 AND (1 + i // 45) % 3 = 0))"""
+
+
+@query(
+    f"""WITH {_LINES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS span_idx, page, text, i = 0 AS is_bold FROM kept WHERE {q_trim('text')} <> ''"""
+)
+def pdf_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans read from PDF files of all documents. Signs that the files' fonts don't have are question marks."""
+    s = pdf.parse_files(_pdfs(spark, d)).where("error IS NULL")
+    return s.select(F.col("path").cast("long").alias("doc_id"), "span_idx", "page", "text", "is_bold")
+
+
+@query()
+def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of each document's PDF file, from what its pages' content streams hold."""
+    pages = pdf.parse_files(_pdfs(spark, d), "pages").where("error IS NULL").withColumnRenamed("path", "doc_id").drop("error")
+    return quality.classify_pages(pages)

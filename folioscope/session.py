@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     builder = (
@@ -31,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local folder is made only where the
-    cluster names none, which is the case in tests on one machine."""
+    """The folder all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder. A
+    machine-local folder is made only where neither is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(path)
@@ -44,16 +49,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage and
-    survives the loss of executors. The files go when the driver ends."""
+    survives the loss of executors. The files go when the driver ends, or with ``forget``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate tables written so far; frames that read them can't be used any more."""
+    sc = spark.sparkContext
+    while _written:
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; what else goes wrong with it is raised."""
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(sc._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def replace_table(df: DataFrame, path: str, partition_by: str) -> None:
+    """Write ``df``, which may be read from ``path``, in its place: beside it first, so that the old table is
+    there until the new one is whole."""
+    sc = df.sparkSession.sparkContext
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.partitionBy(partition_by).parquet(new)
+    old, fresh = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(fresh, old):
+        raise OSError(f"{new} could not be renamed to {path}")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, counted: int | None = None) -> DataFrame:
     """Hint a broadcast only when the counted rows stay within ``max_rows``; otherwise the
     plan keeps its shuffle join. ``df`` must be cheap to count (a written table)."""

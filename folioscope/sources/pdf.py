@@ -7,6 +7,7 @@ operators; widths are estimated from the font size. ``write_pdf`` makes files fo
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -243,22 +244,112 @@ def _multiply(a: tuple, b: tuple) -> tuple:
     )
 
 
+class Font:
+    """How a font's codes read and how wide they are, in thousandths of its size."""
+
+    def __init__(self, doc: Document, ref):
+        font = doc.get(ref)
+        font = font if isinstance(font, dict) else {}
+        self.bold, self.italic = font_style(doc, ref)
+        self.pairs = font.get("Subtype") == "Type0"
+        self.widths: dict[int, float] = {}
+        self.usual = 500.0
+        to_unicode = font.get("ToUnicode")
+        self.texts = code_texts(doc.stream(int(to_unicode))) if isinstance(to_unicode, Ref) else {}
+        if self.pairs:
+            inner = doc.get((doc.get(font.get("DescendantFonts")) or [None])[0])
+            inner = inner if isinstance(inner, dict) else {}
+            self.usual = _number(doc.get(inner.get("DW")), 1000.0)
+            self._spread(doc, doc.get(inner.get("W")) or [])
+        else:
+            first = int(_number(doc.get(font.get("FirstChar")), 0))
+            for k, w in enumerate(doc.get(font.get("Widths")) or []):
+                self.widths[first + k] = _number(doc.get(w), self.usual)
+
+    def _spread(self, doc: Document, items: list) -> None:
+        """Widths of a composite font: a code and a list of widths, or two codes and one width."""
+        at = 0
+        while at + 1 < len(items):
+            low, second = doc.get(items[at]), doc.get(items[at + 1])
+            if isinstance(second, list):
+                for k, w in enumerate(second):
+                    self.widths[int(_number(low, 0)) + k] = _number(doc.get(w), self.usual)
+                at += 2
+            elif at + 2 < len(items):
+                last = min(int(_number(second, 0)), 0xFFFF)
+                for code in range(int(_number(low, 0)), last + 1):
+                    self.widths[code] = _number(doc.get(items[at + 2]), self.usual)
+                at += 3
+            else:
+                break
+
+    def read(self, raw: bytes) -> tuple[str, float]:
+        """(text, width in sizes) of a shown string."""
+        if raw[:2] == b"\xfe\xff" and not self.texts:
+            text = raw[2:].decode("utf-16-be", "replace")
+            return text, len(text) * self.usual / 1000
+        codes = [raw[k] << 8 | raw[k + 1] for k in range(0, len(raw) - 1, 2)] if self.pairs else list(raw)
+        width = sum(self.widths.get(c, self.usual) for c in codes) / 1000
+        if self.texts:
+            return "".join(self.texts.get(c) or ("" if self.pairs else bytes([c]).decode("cp1252", "replace")) for c in codes), width
+        return raw.decode("utf-16-be" if self.pairs else "cp1252", "replace"), width
+
+
+def _number(value, other: float) -> float:
+    return float(value) if isinstance(value, (int, float)) else other
+
+
+def code_texts(cmap: bytes) -> dict[int, str]:
+    """The texts of codes that a ToUnicode table gives, one by one or in ranges."""
+    out: dict[int, str] = {}
+    values: list = []
+    read = lambda b: b.decode("utf-16-be", "replace")
+    for t in tokens(cmap):
+        if not isinstance(t, Operator):
+            values.append(t)
+            continue
+        if t == b"endbfchar":
+            for code, text in zip(values[::2], values[1::2]):
+                if isinstance(code, bytes) and isinstance(text, bytes):
+                    out[int.from_bytes(code, "big")] = read(text)
+        elif t == b"endbfrange":
+            for low, high, text in zip(values[::3], values[1::3], values[2::3]):
+                if not (isinstance(low, bytes) and isinstance(high, bytes)):
+                    continue
+                codes = range(int.from_bytes(low, "big"), min(int.from_bytes(high, "big"), 0xFFFF) + 1)
+                if isinstance(text, list):
+                    out.update((c, read(x)) for c, x in zip(codes, text) if isinstance(x, bytes))
+                elif isinstance(text, bytes) and len(text) >= 2:
+                    for k, c in enumerate(codes):
+                        last = int.from_bytes(text[-2:], "big") + k
+                        out[c] = read(text[:-2] + min(last, 0xFFFF).to_bytes(2, "big"))
+        values = []
+    return out
+
+
 def page_spans(doc: Document, page: dict) -> list[tuple]:
     """(text, x0, y0, x1, y1, size, bold, italic) of the shown strings, in order."""
-    fonts = {k: font_style(doc, v) for k, v in doc.resources(page, "Font").items()}
+    fonts = {k: Font(doc, v) for k, v in doc.resources(page, "Font").items()}
+    none = Font(doc, None)
     spans, args = [], []
     matrix = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     ctm, saved = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), []
-    size, lead, style = 0.0, 0.0, (False, False)
+    size, lead, font = 0.0, 0.0, none
 
-    def show(raw: bytes) -> None:
+    def show(parts: list) -> None:
+        """Strings shown one after the other; numbers between them move back by thousandths of the size."""
         nonlocal matrix
-        text = raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
-        width = 0.5 * size * len(text)
+        text, width = "", 0.0
+        for part in parts:
+            if isinstance(part, bytes):
+                t, w = font.read(part)
+                text, width = text + t, width + w * size
+            elif isinstance(part, (int, float)):
+                text, width = text + (" " if part < -250 else ""), width - part / 1000 * size
         m = _multiply(matrix, ctm)
         scale = abs(m[3]) or abs(m[1]) or 1.0
         if text.strip():
-            spans.append((text, m[4], m[5], m[4] + width * (abs(m[0]) or scale), m[5] + size * scale, size * scale, *style))
+            spans.append((text, m[4], m[5], m[4] + width * (abs(m[0]) or scale), m[5] + size * scale, size * scale, font.bold, font.italic))
         matrix = _multiply((1.0, 0.0, 0.0, 1.0, width, 0.0), matrix)
 
     for t in tokens(doc.content(page)):
@@ -269,7 +360,7 @@ def page_spans(doc: Document, page: dict) -> list[tuple]:
             if t == b"BT":
                 matrix = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
             elif t == b"Tf":
-                size, style = float(args[-1]), fonts.get(args[-2], (False, False))
+                size, font = float(args[-1]), fonts.get(args[-2], none)
             elif t in (b"Td", b"TD"):
                 lead = -float(args[-1]) if t == b"TD" else lead
                 matrix = line = _multiply((1.0, 0.0, 0.0, 1.0, float(args[-2]), float(args[-1])), line)
@@ -280,11 +371,11 @@ def page_spans(doc: Document, page: dict) -> list[tuple]:
             elif t in (b"T*", b"'", b'"'):
                 matrix = line = _multiply((1.0, 0.0, 0.0, 1.0, 0.0, -lead), line)
                 if t != b"T*":
-                    show(args[-1])
+                    show([args[-1]])
             elif t == b"Tj":
-                show(args[-1])
+                show([args[-1]])
             elif t == b"TJ":
-                show(b"".join(x if isinstance(x, bytes) else b" " if isinstance(x, (int, float)) and x < -250 else b"" for x in args[-1]))
+                show(args[-1])
             elif t == b"cm":
                 ctm = _multiply(tuple(float(x) for x in args[-6:]), ctm)
             elif t == b"q":
@@ -402,6 +493,41 @@ def parse_files(files: DataFrame, kind: str = "spans") -> DataFrame:
     return files.select("path", "content").mapInPandas(_read(kind), schema + ", error string")
 
 
+def parse_times(files: DataFrame) -> DataFrame:
+    """(path, ms) of files(path, content): how long each takes to read, for files that can be read."""
+
+    def timed(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf.path, pdf.content):
+                began = time.perf_counter()
+                try:
+                    file_spans(bytes(data))
+                except Exception:  # noqa: BLE001 - told by parse_files
+                    continue
+                rows.append((path, (time.perf_counter() - began) * 1000))
+            yield pd.DataFrame(rows, columns=["path", "ms"])
+
+    return files.select("path", "content").mapInPandas(timed, "path string, ms double")
+
+
+def made_pdfs(pages: DataFrame, key: str) -> DataFrame:
+    """(path, content) of PDF files made of pages(key, page, spans), ``spans`` an array of
+    struct(x, y, size, text, bold); pages in their order, ``path`` the key as text."""
+
+    def make(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            content = [write_pdf([[tuple(s[k] for k in ("x", "y", "size", "text", "bold")) for s in p["spans"]] for p in ps]) for ps in pdf["pages"]]
+            yield pd.DataFrame({"path": pdf["path"], "content": content})
+
+    whole = pages.groupBy(F.col(key).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("page", "spans"))).alias("pages"))
+    return whole.mapInPandas(make, "path string, content binary")
+
+
 def read_spans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(spans with doc_id from the path, dead letters (path, stage, error))."""
     rows = parse_files(list_files(spark, folder))
@@ -427,26 +553,27 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in sorted(glob.glob(os.path.join(folder, "*.pdf")))]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            data = f.read()
+        schema = SPAN_SCHEMA if self.kind == "spans" else PAGE_SCHEMA
         try:
-            rows = file_spans(data) if self.kind == "spans" else file_pages(data)
-        except ValueError:
-            return
-        for r in rows:
-            yield (partition.path, *r)
+            with open(partition.path, "rb") as f:
+                data = f.read()
+            for r in file_spans(data) if self.kind == "spans" else file_pages(data):
+                yield (partition.path, *r, None)
+        except Exception as e:  # noqa: BLE001 - a damaged file is a dead letter, whatever is wrong with it
+            yield (partition.path, *[None] * schema.count(","), f"{type(e).__name__}: {e}")
 
 
 class PdfSource(DataSource):
     """``spark.read.format("pdf_spans").option("kind", "spans"|"pages").load(folder)``; for folders
-    that every executor sees under one path. ``list_files`` reads any file system."""
+    that every executor sees under one path; files that can't be read have a row with ``error``, as in
+    ``parse_files``. ``list_files`` reads any file system."""
 
     @classmethod
     def name(cls) -> str:
         return "pdf_spans"
 
     def schema(self) -> str:
-        return PAGE_SCHEMA if self.options.get("kind") == "pages" else SPAN_SCHEMA
+        return (PAGE_SCHEMA if self.options.get("kind") == "pages" else SPAN_SCHEMA) + ", error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

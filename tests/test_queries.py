@@ -39,7 +39,22 @@ def test_records_union_holds_all_fields_and_records(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "1", '{"c":[2]}', None, None), (2, None, None, "x", None), (3, None, None, None, None), (4, None, None, None, None)]
 
 
-def test_layout_notes_whole_has_all_sections(spark, sf):
-    notes = [r.notes for r in catalogue.QUERIES["layout_notes_whole"](spark, sf).collect()]
+def test_layout_notes_have_all_sections(spark, sf):
+    notes = [r.notes for r in catalogue.QUERIES["layout_notes"](spark, sf).collect()]
     for title in ("key_value_pairs:", "transaction_columns:", "table_columns:"):
         assert any(n.startswith(title) or f"\n\n{title}" in n for n in notes)
+
+
+@pytest.mark.parametrize("name", ["toc_entries", "cached_documents", "uncached_documents", "pdf_spans", "routed_fields", "p4_rebuilt"])
+def test_has_rows(spark, sf, name):
+    assert catalogue.QUERIES[name](spark, sf).limit(1).count() == 1
+
+
+def test_routes_of_known_and_new_layouts(spark, sf):
+    rows = catalogue.QUERIES["routed_fields"](spark, sf).collect()
+    assert {r.was_cached for r in rows} == {True, False} and {r.confidence for r in rows} >= {"exact", "fuzzy"}
+
+
+def test_pages_of_files(spark, sf):
+    kinds = {r.pdf_type for r in catalogue.QUERIES["pdf_pages"](spark, sf).collect()}
+    assert "text" in kinds

@@ -35,8 +35,11 @@ def test_spans_and_pages(spark, folder):
 def test_data_source(spark, folder):
     spark.dataSource.register(pdf.PdfSource)
     spans, _ = pdf.read_spans(spark, folder)
-    assert spark.read.format("pdf_spans").load(folder).count() == spans.count()
-    assert spark.read.format("pdf_spans").option("kind", "pages").load(folder).count() == 6
+    read = spark.read.format("pdf_spans").load(folder)
+    assert read.where("error IS NULL").count() == spans.count()
+    assert sorted(os.path.basename(r.path) for r in read.where("error IS NOT NULL").collect()) == ["bad.pdf", "blank.pdf"]
+    pages = spark.read.format("pdf_spans").option("kind", "pages").load(folder)
+    assert pages.where("error IS NULL").count() == 6 and pages.where("error IS NOT NULL").count() == 1
 
 
 def test_content_counts():
@@ -119,3 +122,21 @@ def test_schema_with_arrays():
     scalars, arrays = extract.compile_schema('{"bill_to":"string","rows":{"type":"array","columns":{"B":"b","A":"a"}}}')
     assert scalars == [("bill_to", "Bill To:")] and arrays[0]["columns"] == [("A", "a"), ("B", "b")]
     assert [f for f, _ in extract.compile_schema("{}")[0]] == ["date", "invoice_number", "total"]
+
+
+def test_texts_of_codes_and_widths():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0003> <0020> <0004> <00660069> endbfchar 2 beginbfrange <0024> <0026> <0041> <0030> <0031> [<0431> <0432>] endbfrange"
+    assert pdf.code_texts(cmap) == {3: " ", 4: "fi", 0x24: "A", 0x25: "B", 0x26: "C", 0x30: "б", 0x31: "в"}
+    stream = b"BT /F1 10 Tf 50 700 Td <002400250030> Tj ET BT /F2 10 Tf 50 600 Td [ (AB) -1000 (A) ] TJ ET"
+    data = b"".join([
+        b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Count 1 /Kids [3 0 R] >>\nendobj\n",
+        b"3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R /F2 8 0 R >> >> >>\nendobj\n",
+        b"4 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (len(stream), stream),
+        b"5 0 obj\n<< /Type /Font /Subtype /Type0 /BaseFont /X-BoldItalic /DescendantFonts [6 0 R] /ToUnicode 7 0 R >>\nendobj\n",
+        b"6 0 obj\n<< /Type /Font /Subtype /CIDFontType2 /DW 300 /W [36 [600 700] 48 49 900] >>\nendobj\n",
+        b"7 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (len(cmap), cmap),
+        b"8 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 65 /Widths [600 400] >>\nendobj\n",
+    ])
+    a, b = pdf.file_spans(data)
+    assert a[1] == "ABб" and a[4] - a[2] == pytest.approx(22.0) and a[8] and a[9]
+    assert b[1] == "AB A" and b[4] - b[2] == pytest.approx(6 + 4 + 10 + 6)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ PARTIAL = ("cp1252", "cp1250", "cp1251")
 #: only under chains that also explain longer words of the corpus.
 RARITY_SHORT, RARITY = 20, 2
 #: Words up to which a table of words is broadcast; some words are in a large part of all texts.
-BROADCAST_WORDS = 500_000
+BROADCAST_WORDS = 300_000
 #: Tasks that the texts with one garbled word are spread over where the words are too many to broadcast.
 SALTS = 16
 #: Words whose forms one task makes.
@@ -72,16 +73,19 @@ def _read(data: bytes, codec: str, undefined: str = "keep") -> str:
     return codecs.charmap_decode(data.translate(None, out) if out else data, "strict", signs)[0]
 
 
-def garbled_forms(word: str) -> dict[tuple[str, str], tuple[int, bool, bool]]:
+def garbled_forms(word: str, known: frozenset[str] | None = None) -> dict[tuple[str, str], tuple[int, bool, bool]]:
     """All wrong readings of ``word``: (form, chain) -> (rank, strict, lossless), the likelier
     chains first. ``strict`` forms come from UTF-8 bytes and hardly arise by chance; ``lossless`` ones
     lead back to the word. A chain that differs from an earlier one in what it does with bytes that the
-    reader doesn't define is left out where there are none."""
+    reader doesn't define is left out where there are none. With ``known``, only forms among these words."""
     out: dict[tuple[str, str], tuple[int, bool, bool]] = {}
+    rank = 0
 
     def put(form: str, chain: str, strict: bool, lossless: bool) -> None:
-        if form and form != word:
-            out[form, chain] = (len(out), strict, lossless)
+        nonlocal rank
+        rank += 1
+        if form and form != word and (known is None or form in known):
+            out[form, chain] = (rank, strict, lossless)
 
     for enc in WRITTEN_IN:
         try:
@@ -127,21 +131,27 @@ def garbled_forms(word: str) -> dict[tuple[str, str], tuple[int, bool, bool]]:
     return out
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms(known: Broadcast | None):
+    """Reader of (word, n) that gives the forms of each word, of those ``known`` where they are given."""
     schema = pa.schema(
         [("form", pa.string()), ("word", pa.string()), ("n_word", pa.int64()), ("chain", pa.string()),
          ("rank", pa.int32()), ("strict", pa.bool_()), ("lossless", pa.bool_())]
     )
-    for batch in batches:
-        words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(words), 500):
-            rows = [
-                (form, w, n, chain, *how)
-                for w, n in zip(words[at : at + 500], counts[at : at + 500])
-                for (form, chain), how in garbled_forms(w).items()
-            ]
-            cols = list(zip(*rows)) if rows else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_known = known.value if known is not None else None
+        for batch in batches:
+            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(words), 500):
+                rows = [
+                    (form, w, n, chain, *how)
+                    for w, n in zip(words[at : at + 500], counts[at : at + 500])
+                    for (form, chain), how in garbled_forms(w, words_known).items()
+                ]
+                cols = list(zip(*rows)) if rows else [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+
+    return read
 
 
 def words_of(text: Column) -> Column:
@@ -168,8 +178,11 @@ def garbled_words(words: DataFrame) -> DataFrame:
     counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "p1-words")
     n_words = counts.count()
     tasks = max(words.sparkSession.sparkContext.defaultParallelism, n_words // WORDS_A_TASK)
-    # a word has hundreds of forms: spread the words, and meet the few forms that occur where they are made
-    forms = counts.select("word", "n").repartition(tasks, "word").mapInArrow(_forms, FORM_SCHEMA)
+    # a word has hundreds of forms, few of which occur: the words are spread and, unless they are too many, go along
+    # with every task, so that only forms that occur leave it
+    sc = words.sparkSession.sparkContext
+    known = sc.broadcast(frozenset(counts.select("word").toArrow().column(0).to_pylist())) if n_words <= BROADCAST_WORDS else None
+    forms = counts.select("word", "n").repartition(tasks, "word").mapInArrow(_forms(known), FORM_SCHEMA)
     seen = broadcast_if_small(counts.select(F.col("word").alias("form"), F.col("n").alias("n_form")), BROADCAST_WORDS, n_words)
     hits = forms.join(seen, "form").where(
         F.col("strict")

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.session import materialize
+from folioscope.session import broadcast_if_small, materialize
 
 VALUE_BUCKETS = 64
+#: Records of a file that one task profiles; rows up to which large files and names of fields are broadcast.
+RECORDS_A_TASK, BROADCAST_FILES = 50_000, 200_000
 #: Least score of a match, and what speaks for and against it; see ``score``.
 ACCEPT = 0.95
 #: Sketches below this likeness rule out a match of names that aren't alike either.
@@ -121,33 +123,76 @@ def _into(items: list, prefix: str, kinds: Counter, sketch: Counter) -> None:
             _into(x, prefix, kinds, sketch)
 
 
-def _profile_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["layout_id", "seq_no", "field", "what", "item", "n"]
+def _profile_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles of files whose records come one after the other, repeated ones side by side."""
     sys.setrecursionlimit(100_000)
-    for pdf in batches:
-        kinds: dict[tuple, Counter] = defaultdict(Counter)
-        sketches: dict[tuple, Counter] = defaultdict(Counter)
-        for layout, seq, text in zip(pdf.layout_id, pdf.file_no, pdf.fields_json):
+    counted = pa.list_(pa.struct([("item", pa.string()), ("n", pa.int64())]))
+    file, last, kinds, sketch = None, None, Counter(), Counter()
+
+    def profile() -> list[tuple]:
+        by_field: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for side, counts in enumerate((kinds, sketch)):
+            for (field, item), n in counts.items():
+                by_field[field][side].append({"item": item, "n": n})
+        return [(*file, field, k, sk) for field, (k, sk) in by_field.items()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds_ = (pa.string(), pa.int32(), pa.string(), counted, counted)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], names=["layout_id", "seq_no", "field", "kinds", "sketch"])
+
+    for batch in batches:
+        rows = []
+        for layout, no, part, record_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (layout, no, part) != last:
+                if kinds:
+                    rows += profile()
+                last, file, kinds, sketch, before = (layout, no, part), (layout, no), Counter(), Counter(), None
+            elif record_id is not None and record_id == before:
+                continue
+            before = record_id
             try:
                 record = json.loads(text)
             except (ValueError, TypeError, RecursionError):
                 continue
             if isinstance(record, dict):
-                _walk(record, "", kinds[layout, seq], sketches[layout, seq])
-        rows = [(*k, f, "kind", i, n) for k, c in kinds.items() for (f, i), n in c.items()]
-        rows += [(*k, f, "sketch", i, n) for k, c in sketches.items() for (f, i), n in c.items()]
-        yield pd.DataFrame(rows, columns=columns)
+                _walk(record, "", kinds, sketch)
+        yield out(rows)
+    if kinds:
+        yield out(profile())
 
 
 def profile_records(records: DataFrame) -> DataFrame:
-    """(layout_id, seq_no, field, what, item, n) of records(record_id, layout_id, file_no, fields_json):
-    counts of JSON types (what 'kind') and of sketch features (what 'sketch'). A record delivered
-    twice counts once; null or unreadable JSON and rows without layout or file count nowhere."""
-    one = records.where("fields_json IS NOT NULL AND layout_id IS NOT NULL AND file_no IS NOT NULL").dropDuplicates(["record_id"])
-    raw = one.select("layout_id", "file_no", "fields_json").mapInPandas(
-        _profile_records, "layout_id string, seq_no int, field string, what string, item string, n long"
-    )
-    return raw.groupBy("layout_id", "seq_no", "field", "what", "item").agg(F.sum("n").alias("n"))
+    """(layout_id, seq_no, field, kinds, sketch) of records(record_id, layout_id, file_no, fields_json): how many
+    values of each JSON type a field has in a file, and the sketch features of its values, as arrays of
+    struct(item, n). A record delivered twice in a file counts once; null or unreadable JSON and rows
+    without layout or file count nowhere. The records of a file go to one task, those of a very large file to several."""
+    one = records.where("fields_json IS NOT NULL AND layout_id IS NOT NULL AND file_no IS NOT NULL")
+    at = ["layout_id", "file_no"]
+    large = one.groupBy(*at).agg(F.ceil(F.count("*") / RECORDS_A_TASK).alias("parts")).where("parts > 1")
+    large = materialize(large, "p2-large-files")
+    n_large = large.count()
+    part = F.lit(0).cast("long")
+    if n_large:
+        one = one.join(broadcast_if_small(large, BROADCAST_FILES, n_large), at, "left")
+        part = F.pmod(F.xxhash64("record_id"), F.coalesce("parts", F.lit(1)))
+    one = one.select("layout_id", F.col("file_no").cast("int").alias("file_no"), part.alias("part"), "record_id", "fields_json")
+    one = one.repartition("layout_id", "file_no", "part").sortWithinPartitions("layout_id", "file_no", "part", "record_id")
+    counted = "array<struct<item:string,n:bigint>>"
+    raw = one.mapInArrow(_profile_records, f"layout_id string, seq_no int, field string, kinds {counted}, sketch {counted}")
+    return _merged(raw) if n_large else raw
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One row a field of profiles that came in parts."""
+    at = ["layout_id", "seq_no", "field"]
+    parts = materialize(parts, "p2-parts")
+
+    def whole(column: str) -> DataFrame:
+        each = parts.select(*at, F.explode(column).alias("e")).groupBy(*at, "e.item").agg(F.sum("e.n").alias("n"))
+        return each.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias(column))
+
+    return whole("kinds").join(whole("sketch"), at, "left").withColumn("sketch", F.coalesce("sketch", F.array().cast("array<struct<item:string,n:bigint>>")))
 
 
 def _profile_manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,8 +353,8 @@ def versions(manifest_profile: DataFrame, record_profile: DataFrame) -> DataFram
     """(src, layout_id, seq_no, field, kind, label): fields of every version with their type; for
     records the type of most values (ties: the first in the alphabet)."""
     m = manifest_profile.select(F.lit("manifest").alias("src"), "layout_id", "seq_no", "field", "kind", "label")
-    most = F.max_by("item", F.struct("n", F.translate("item", "abnos", "zyxwv"))).alias("kind")
-    r = record_profile.where("what = 'kind'").groupBy("layout_id", "seq_no", "field").agg(most)
+    ranked = F.transform("kinds", lambda k: F.struct(k["n"].alias("n"), F.translate(k["item"], "abnos", "zyxwv").alias("turned"), k["item"].alias("item")))
+    r = record_profile.select("layout_id", "seq_no", "field", F.array_max(ranked)["item"].alias("kind"))
     return m.unionByName(r.select(F.lit("record").alias("src"), "layout_id", "seq_no", "field", "kind", F.lit("").alias("label")))
 
 
@@ -335,8 +380,17 @@ def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
 
     The first version of a layout has no changes. Numbers of versions may have holes. Late and
     repeated rows make no difference; unreadable versions are skipped."""
+    return changes_between(*profiles(manifests, records))
+
+
+def profiles(manifests: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fields of all versions and the profile of the records, as written tables."""
     record_profile = materialize(profile_records(records), "p2-records")
-    fields = materialize(versions(profile_manifests(manifests), record_profile), "p2-versions")
+    return materialize(versions(profile_manifests(manifests), record_profile), "p2-versions"), record_profile
+
+
+def changes_between(fields: DataFrame, record_profile: DataFrame) -> DataFrame:
+    """The changes of ``changes`` from the fields of all versions and the profile of the records."""
     steps = fields.select("src", "layout_id", "seq_no").distinct()
     steps = steps.withColumn("prev_no", F.lag("seq_no").over(Window.partitionBy("src", "layout_id").orderBy("seq_no")))
     steps = steps.where("prev_no IS NOT NULL")
@@ -384,14 +438,15 @@ def changes(manifests: DataFrame, records: DataFrame) -> DataFrame:
     )
 
     # sketches: of the file itself for records, of the name in all files for manifests
-    sketch = record_profile.where("what = 'sketch'")
-    as_map = F.sort_array(F.collect_list(F.struct("item", "n")))
-    local = sketch.groupBy("layout_id", "seq_no", "field").agg(as_map.alias("sketch"))
-    overall = sketch.groupBy("field", "item").agg(F.sum("n").alias("n")).groupBy("field").agg(as_map.alias("sketch"))
+    declared = open_.where("src = 'manifest'")
+    names = materialize(declared.select("field").distinct(), "p2-declared")
+    local = record_profile.select("layout_id", "seq_no", "field", F.when(F.size("sketch") > 0, F.col("sketch")).alias("sketch"))
+    asked = record_profile.join(broadcast_if_small(names, BROADCAST_FILES), "field", "left_semi").select("field", F.explode("sketch").alias("e"))
+    overall = asked.groupBy("field", "e.item").agg(F.sum("e.n").alias("n")).groupBy("field").agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("sketch"))
     here = open_.where("src = 'record'").join(steps, at)
     here = here.withColumn("from_no", F.when(F.col("side") == "come", F.col("seq_no")).otherwise(F.col("prev_no")))
     here = here.join(local.withColumnRenamed("seq_no", "from_no"), ["layout_id", "from_no", "field"], "left").drop("from_no", "prev_no")
-    declared = open_.where("src = 'manifest'").join(overall, "field", "left")
+    declared = declared.join(overall, "field", "left")
     described = here.unionByName(declared).join(per_name, "field", "left")
     pair = "array<struct<b:string,together:bigint,expected:double,layouts:bigint,shared:bigint>>"
     described = described.select(
@@ -541,3 +596,92 @@ def unify(records: DataFrame, all_changes: DataFrame) -> DataFrame:
     kinds = dict(one.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("record_id", "layout_id", "file_no")) + ", fields map<string,string>"
     return one.join(per_layout, "layout_id", "left").select("record_id", "layout_id", "file_no", "raw", "steps").mapInArrow(_rename_records, schema)
+
+
+# ---------------------------------------------------------------- one schema, and the books
+
+
+def _latest_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple, Renamer] = {}
+    for batch in batches:
+        out = []
+        for src, layout, no, field, steps in zip(*(batch.column(c).to_pylist() for c in ("src", "layout_id", "seq_no", "field", "steps"))):
+            at = (src, layout, no)
+            if at not in known:
+                by_no: dict[int, dict[str, str]] = defaultdict(dict)
+                for s in steps or ():
+                    if s["seq_no"] > no:
+                        by_no[s["seq_no"]][s["was_name"]] = s["field_name"]
+                known[at] = Renamer([by_no[k] for k in sorted(by_no)])
+            out.append(known[at].latest_of(field))
+        kept = ["src", "layout_id", "seq_no", "kind"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, "field_name"])
+
+
+def unified_schema(fields: DataFrame, all_changes: DataFrame) -> DataFrame:
+    """(src, layout_id, field_name, kind, kinds, first_no, last_no, is_current): one schema per layout over all its
+    versions, for manifests and records alike. Fields are under their latest names; ``kinds`` are all types a
+    field had and ``kind`` the one that holds them: the type itself, 'string' for several scalar ones, 'variant'
+    where arrays or objects are among several, '' where none is declared. ``is_current`` tells fields of the last version."""
+    renames = all_changes.where("change_kind = 'renamed'")
+    steps = renames.groupBy("src", "layout_id").agg(F.sort_array(F.collect_list(F.struct("seq_no", "was_name", "field_name"))).alias("steps"))
+    named = fields.join(steps, ["src", "layout_id"], "left").select("src", "layout_id", "seq_no", "field", "kind", "steps").mapInArrow(
+        _latest_names, "src string, layout_id string, seq_no int, kind string, field_name string"
+    )
+    last = fields.groupBy("src", "layout_id").agg(F.max("seq_no").alias("newest"))
+    g = named.groupBy("src", "layout_id", "field_name").agg(
+        F.sort_array(F.collect_set("kind")).alias("kinds"), F.min("seq_no").alias("first_no"), F.max("seq_no").alias("last_no")
+    )
+    several = F.size("kinds") > 1
+    nested_ = F.exists("kinds", lambda k: k.isin("array", "object"))
+    kind = F.when(~several, F.element_at("kinds", 1)).when(nested_, "variant").otherwise("string")
+    return g.join(last, ["src", "layout_id"]).select(
+        "src", "layout_id", "field_name", kind.alias("kind"), F.array_join("kinds", " ").alias("kinds"), "first_no", "last_no", (F.col("last_no") == F.col("newest")).alias("is_current")
+    )
+
+
+def _leaves(fields: list[tuple[str, str | None]] | None) -> Counter:
+    """The values below a record's fields, each as text, without their names."""
+    out: Counter = Counter()
+
+    def walk(v) -> None:
+        if isinstance(v, dict):
+            for x in v.values():
+                walk(x)
+        elif isinstance(v, list):
+            for x in v:
+                walk(x)
+        elif v is not None:
+            out[str(v)] += 1
+
+    for _, text in fields or ():
+        if text is not None and text[:1] in ("{", "["):
+            try:
+                walk(json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_Number))
+                continue
+            except (ValueError, RecursionError):
+                pass
+        walk(text)
+    return out
+
+
+def _book(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(100_000)
+    for batch in batches:
+        rows = []
+        for raw, fields in zip(batch.column("raw"), batch.column("fields")):
+            a, b = _leaves(raw.as_py()), _leaves(fields.as_py())
+            rows.append((sum(a.values()), sum(b.values()), a == b))
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("record_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_())))], names=["record_id", "n_in", "n_out", "same"]
+        )
+
+
+def account(records: DataFrame, unified: DataFrame) -> DataFrame:
+    """(record_id, n_in, n_out, same): values of each readable record before and after ``unify``, and whether they
+    are the same ones."""
+    raw = F.from_json("fields_json", "map<string,string>")
+    one = records.where(F.try_parse_json("fields_json").isNotNull()).dropDuplicates(["record_id"]).select("record_id", raw.alias("raw"))
+    both = one.join(unified.select("record_id", "fields"), "record_id")
+    return both.mapInArrow(_book, f"record_id {dict(both.dtypes)['record_id']}, n_in long, n_out long, same boolean")

@@ -18,6 +18,17 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(table(spark, d, "extracted_records"), p2_found(spark, d))
 
 
+def p2_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """One schema of each layout over all its manifests, and over all its record files."""
+    fields, profile = schema_drift.profiles(table(spark, d, "layout_manifests"), table(spark, d, "extracted_records"))
+    return schema_drift.unified_schema(fields, schema_drift.changes_between(fields, profile))
+
+
+def p2_accounted(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each readable record has the same values before and after its fields were renamed."""
+    return schema_drift.account(table(spark, d, "extracted_records"), p2_unified(spark, d)).select("record_id", "same")
+
+
 def _objects(spark: SparkSession, d: str, values: bool, keys: bool) -> DataFrame:
     records = nested.json_records(table(spark, d, "extracted_records"), table(spark, d, "batch_entries"))
     return nested.read_objects(records, values, keys)
@@ -83,9 +94,10 @@ def p5_zones(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unified, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p4_typed, p4_rebuilt, p5_found, p5_instants, p5_zones)
+    for f in (p2_found, p2_unified, p2_schemas, p2_accounted, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p4_typed, p4_rebuilt, p5_found, p5_instants, p5_zones)
 }
 ORACLE: dict[str, str] = {
+    "p2_accounted": "SELECT DISTINCT record_id, true AS same FROM extracted_records WHERE json_valid(fields_json)",
     "p4_rebuilt": """SELECT DISTINCT 'record' AS src, record_id AS ref_id, true AS same FROM extracted_records WHERE json_valid(fields_json)
     UNION ALL SELECT DISTINCT 'entry', entry_id, true FROM batch_entries WHERE json_valid(fields_json)""",
 }

@@ -94,3 +94,43 @@ def test_unify_renames_at_every_depth_and_by_file(spark):
     assert got[3] == {"total": "1", "grand": "2"}
     assert got[4] == {"grand": "1", "rows": '[{"amount":1,"amt":2},{"amt":3}]'}
     assert got[5] == {"items": '[{"amount":1}]', "total": "1"}
+
+
+def books(spark, rows, steps):
+    records = spark.createDataFrame(rows, "record_id long, layout_id string, file_no int, fields_json string")
+    found = spark.createDataFrame(steps, "src string, layout_id string, seq_no int, field_name string, was_name string, change_kind string")
+    unified = D.unify(records, found)
+    return {r.record_id: r.fields for r in unified.collect()}, {r.record_id: (r.n_in, r.n_out, r.same) for r in D.account(records, unified).collect()}
+
+
+def test_name_that_comes_back(spark):
+    """A became B in file 2, and file 5 has a new A: both keep their values."""
+    rows = [(1, "L", 1, '{"A":"1"}'), (2, "L", 2, '{"B":"2"}'), (3, "L", 5, '{"A":"new thing","B":"2"}'), (4, "L", 1, '{"A":"1","B":"x","t":[{"q":1.25}]}'), (5, "L", 1, '{"cut'), (6, "L", None, "{}")]
+    fields, book = books(spark, rows, [("record", "L", 2, "B", "A", "renamed"), ("record", "L", 5, "A", "", "added")])
+    assert fields[1] == {"B": "1"} and fields[3] == {"A": "new thing", "B": "2"} and fields[4] == {"A": "1", "B": "x", "t": '[{"q":1.25}]'} and fields[5] is None
+    assert book == {1: (1, 1, True), 2: (1, 1, True), 3: (2, 2, True), 4: (3, 3, True), 6: (0, 0, True)}
+
+
+def test_files_in_parts(spark, monkeypatch):
+    rows = [(i, "L", 1 + i // 50, '{"a":%d,"b":[{"c":"x%d"}]%s}' % (i, i, ',"d":true' if i >= 50 else ""), None) for i in range(100)]
+    _, r = frames(spark, [], rows + rows[:20])
+
+    def told(df):
+        return sorted((x.seq_no, x.field, sorted(map(tuple, x.kinds)), sorted(map(tuple, x.sketch))) for x in df.collect())
+
+    whole = told(D.profile_records(r))
+    monkeypatch.setattr(D, "RECORDS_A_TASK", 7)
+    assert told(D.profile_records(r)) == whole
+    assert [(no, f, k) for no, f, k, _ in whole] == [(1, "a", [("number", 50)]), (1, "b", [("array", 50)]), (1, "b.c", [("string", 50)]), (2, "a", [("number", 50)]), (2, "b", [("array", 50)]), (2, "b.c", [("string", 50)]), (2, "d", [("boolean", 50)])]
+
+
+def test_one_schema(spark):
+    fields = spark.createDataFrame(
+        [("record", "L", 1, "total", "string"), ("record", "L", 1, "items", "array"), ("record", "L", 1, "items.qty", "number"), ("record", "L", 3, "grand", "number"), ("record", "L", 3, "items", "array"), ("record", "L", 3, "items.units", "number"),
+         ("manifest", "L", 1, "total", "number"), ("record", "L", 1, "x", "array"), ("record", "L", 3, "x", "string")],
+        "src string, layout_id string, seq_no int, field string, kind string",
+    )
+    steps = [("record", "L", 3, "grand", "total", "renamed"), ("record", "L", 3, "items.units", "items.qty", "renamed")]
+    found = spark.createDataFrame(steps, "src string, layout_id string, seq_no int, field_name string, was_name string, change_kind string")
+    got = {(r.src, r.field_name): (r.kind, r.first_no, r.last_no, r.is_current) for r in D.unified_schema(fields, found).collect()}
+    assert got == {("record", "grand"): ("string", 1, 3, True), ("record", "items"): ("array", 1, 3, True), ("record", "items.units"): ("number", 1, 3, True), ("record", "x"): ("variant", 1, 3, True), ("manifest", "total"): ("number", 1, 1, True)}

@@ -17,6 +17,8 @@ from folioscope.session import broadcast_if_small, materialize
 
 DIGIT = 16
 PASSES = 64 // DIGIT
+#: Bits of a digit that tell the digits of one block apart.
+BLOCK_BITS = 12
 #: Targets (groups times percentiles) up to which they are broadcast to the next pass.
 BROADCAST_TARGETS = 200_000
 
@@ -72,11 +74,12 @@ def _prefix(key: Column, passes: int) -> Column:
     return F.shiftright(key, 64 - DIGIT * passes)
 
 
-def histogram(values: DataFrame, group: list[str], by: list[str] | None = None) -> DataFrame:
-    """First-digit histogram of values(*group, *by, value): (*group, *by, digit, n). Histograms of
-    different days or partitions are combined by adding ``n`` per group and digit."""
+def histogram(values: DataFrame, group: list[str], by: list[str] | None = None, digits: int = 1) -> DataFrame:
+    """Histogram of values(*group, *by, value) by their first ``digits`` digits: (*group, *by, digit, n).
+    Histograms of different days or partitions are combined by adding ``n`` per group and digit. One digit
+    makes a small table; with two, what is read off is within ``error_bound(2)``, 2**-21 of the value."""
     keyed = values.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    return keyed.groupBy(*group, *(by or []), _prefix(double_key(F.col("value").cast("double")), 1).alias("digit")).agg(
+    return keyed.groupBy(*group, *(by or []), _prefix(double_key(F.col("value").cast("double")), digits).alias("digit")).agg(
         F.count("*").alias("n")
     )
 
@@ -85,18 +88,26 @@ def combine(histograms: DataFrame, group: list[str]) -> DataFrame:
     return histograms.groupBy(*group, "digit").agg(F.sum("n").alias("n"))
 
 
-def from_histogram(histograms: DataFrame, group: list[str], ps: list[float]) -> DataFrame:
-    """(*group, p, n, value) read off combined first-digit histograms (*group, digit, n), within
-    ``error_bound(1)``; ``percentiles`` follows the digits further and is exact."""
-    cum = histograms.withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("digit"))).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*group))
-    )
-    wanted = cum.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn(
+def from_histogram(histograms: DataFrame, group: list[str], ps: list[float], digits: int = 1) -> DataFrame:
+    """(*group, p, n, value) read off combined histograms (*group, digit, n), within ``error_bound(digits)``;
+    ``percentiles`` follows the digits further and is exact. The digits of a group are as many as its values
+    are apart; where they are more than one task should sort, blocks of 2**BLOCK_BITS digits are summed up first."""
+    block = F.shiftright("digit", BLOCK_BITS)
+    blocks = materialize(histograms.groupBy(*group, block.alias("block")).agg(F.sum("n").alias("in_block")), "p3-blocks")
+    up_to = Window.partitionBy(*group).orderBy("block")
+    blocks = blocks.withColumn("before", F.sum("in_block").over(up_to) - F.col("in_block")).withColumn("total", F.sum("in_block").over(Window.partitionBy(*group)))
+    wanted = blocks.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in ps)))).withColumn(
         "rank", F.greatest(F.lit(1).cast("long"), F.ceil(F.round(F.col("p") * F.col("total"), 9)).cast("long"))
     )
-    hit = wanted.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-    low = F.shiftleft(F.col("digit"), 64 - DIGIT)
-    middle = key_value(low + F.lit(1 << (63 - DIGIT)))
+    in_block = wanted.where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("in_block")))
+    theirs = in_block.select(*(F.col(g).alias(f"t_{g}") for g in group), F.col("block").alias("t_block"), "p", "total", (F.col("rank") - F.col("before")).alias("rank"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"t_{g}")) for g in group], block == F.col("t_block"))
+    few = broadcast_if_small(theirs, BROADCAST_TARGETS, blocks.count() * len(ps))
+    inside = histograms.withColumn("upto", F.sum("n").over(Window.partitionBy(*group, block).orderBy("digit"))).join(few, same)
+    hit = inside.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    shift = 64 - DIGIT * digits
+    low = F.shiftleft(F.col("digit"), shift)
+    middle = key_value(low + F.lit(1 << (shift - 1)))
     return hit.select(*group, "p", F.col("total").alias("n"), F.when(F.col("digit") == 0, 0.0).otherwise(middle).alias("value"))
 
 

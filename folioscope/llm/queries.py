@@ -45,13 +45,13 @@ def p3_duration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_days(spark: SparkSession, d: str) -> DataFrame:
-    """First-digit histograms per model and day; adding them up per model gives that of any set of days."""
-    return percentiles.histogram(percentiles.call_latencies(table(spark, d, "llm_calls")), ["model"], ["log_date"])
+    """Histograms of two digits per model and day; adding them up per model gives that of any set of days."""
+    return percentiles.histogram(percentiles.call_latencies(table(spark, d, "llm_calls")), ["model"], ["log_date"], digits=2)
 
 
 def p3_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per model read off the added-up daily histograms, within the error of one digit."""
-    return percentiles.from_histogram(percentiles.combine(p3_days(spark, d), ["model"]), ["model"], PS)
+    """Percentiles per model read off the added-up daily histograms, within 2**-21 of their value."""
+    return percentiles.from_histogram(percentiles.combine(p3_days(spark, d), ["model"]), ["model"], PS, digits=2)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +103,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.measure(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "run_share")
 
 
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of words in repeated lines and in repeated paragraphs."""
+    return repetition.measure(table(spark, d, "documents")).select("doc_id", "line_share", "paragraph_share")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_restored, p1_accuracy, p3_latency, p3_duration, p3_days, p3_combined, p6_found, p6_labels, p6_texts,
-        p7_found, p7_items, p8_sample, p8_shares, p9_found, p9_shares,
+        p7_found, p7_items, p8_sample, p8_shares, p9_found, p9_shares, p9_levels,
     )
 }
 
@@ -133,7 +138,28 @@ _SHARES = r"""
     FROM w LEFT JOIN n USING (doc_id)
     """
 
+_DIGITS = """WITH c AS (SELECT call_id, arg_min(model, ingested_at) AS model, arg_min(log_date, ingested_at) AS log_date, arg_min_null(latency_ms, ingested_at)::DOUBLE AS x FROM llm_calls GROUP BY call_id),
+    e AS (SELECT model, log_date, x, floor(log2(x)) AS e FROM c WHERE x > 0),
+    h AS (SELECT model, log_date, ((e + 1023) * 1048576 + floor((x / pow(2.0, e) - 1) * 1048576))::BIGINT AS digit, count(*) AS n FROM e GROUP BY ALL
+      UNION ALL SELECT model, log_date, 0, count(*) FROM c WHERE x = 0 GROUP BY ALL)"""
+
+
+def _repeated_sql(cut: str) -> str:
+    """Words in repeated parts of each text."""
+    return rf"""p AS (SELECT doc_id, unnest({cut}) AS part, unnest(range(0, len({cut}))) AS i FROM documents),
+    w AS (SELECT doc_id, i, regexp_extract_all(lower(part), '\p{{L}}+') AS ws FROM p),
+    r AS (SELECT doc_id, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, ws ORDER BY i) > 1 AS again FROM w)
+    SELECT doc_id, CASE WHEN sum(n) = 0 THEN 0.0 ELSE coalesce(sum(n) FILTER (again), 0)::DOUBLE / sum(n) END AS share FROM r GROUP BY doc_id"""
+
+
 ORACLE: dict[str, str] = {
+    "p3_days": f"{_DIGITS} SELECT model, log_date, digit, n FROM h",
+    "p3_combined": f"""{_DIGITS}, s AS (SELECT model, digit, sum(n) AS n FROM h GROUP BY ALL),
+    u AS (SELECT *, sum(n) OVER (PARTITION BY model ORDER BY digit) AS upto, sum(n) OVER (PARTITION BY model) AS total FROM s),
+    r AS (SELECT *, greatest(1, ceil(round(p * total, 9))) AS rank FROM u, (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in PS)}]) AS p))
+    SELECT model, p, total::BIGINT AS n, CASE WHEN digit = 0 THEN 0.0 ELSE pow(2.0, digit // 1048576 - 1023) * (1 + (digit % 1048576 + 0.5) / 1048576) END AS value FROM r WHERE rank <= upto AND rank > upto - n""",
+    "p9_levels": f"""WITH l AS (WITH {_repeated_sql("string_split(coalesce(text, ''), chr(10))")}), g AS (WITH {_repeated_sql(r"regexp_split_to_array(coalesce(text, ''), '\n\s*\n')")})
+    SELECT doc_id, l.share AS line_share, g.share AS paragraph_share FROM l JOIN g USING (doc_id)""",
     "p3_latency": _percentile_sql(
         "SELECT any_value(model) AS model, any_value(latency_ms)::DOUBLE AS x FROM llm_calls GROUP BY call_id HAVING any_value(latency_ms) >= 0",
         "model",

@@ -19,8 +19,15 @@ from pyspark.sql import functions as F
 INVISIBLE = (
     "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f"
     "\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069"
-    "\u206a\u206b\u206c\u206d\u206e\u206f\ufe00\ufe0e\ufe0f\ufeff\ufff9\ufffa\ufffb"
+    "\u206a\u206b\u206c\u206d\u206e\u206f\ufeff\ufff9\ufffa\ufffb"
 )
+# Ranges of variation selectors and tags, which can't be seen either.
+UNSEEN = ((0xFE00, 0xFE0F), (0xE0000, 0xE007F), (0xE0100, 0xE01EF))
+# Scripts in which the joiner and the non-joiner change what is read; between symbols they make one of two.
+JOINED = (
+    "Arabic", "Syriac", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala",
+    "Khmer", "Mongolian",
+)
 # Blanks other than the plain one.
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Signs drawn like ASCII punctuation, and the ASCII sign. Long dashes and curly quotes stay.
@@ -35,6 +42,9 @@ CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјкорсухһԁԛԝӏӀҮ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXaesijkopcyxhdqwlIY"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXaikvopuxcj"
+# Letters drawn like Latin ones in Armenian, Cherokee and phonetic script.
+OTHER = "օոսհյցզՏՍՕԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏕᏙᏞᏟᏢᏦᏴɡɑ"
+OTHER_AS = "onuhjgqSUOLDRTAJEWMHGZSVLCPKBga"
 # The Cyrillic and Greek letters that Latin letters are mistaken for inside such words.
 LATIN_IN_CYRILLIC = ("ABEKMHOPCTYXaekopcyx", "АВЕКМНОРСТУХаекорсух")
 LATIN_IN_GREEK = ("ABEZHIKMNOPTYXov", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον")
@@ -68,7 +78,12 @@ def embedded_sql() -> str:
     in one form, blanks kept) and ``canonical`` (blanks collapsed and trimmed as well)."""
     from_, to, joined = compatibility()
     odd = "[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in RANGES) + "".join(SIGNS) + "]"
-    t = f"regexp_replace(text, '[{INVISIBLE}]', '', 'g')"
+    unseen = INVISIBLE + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSEEN)
+    joined_by = "[" + "".join(rf"\p{{{x}}}" for x in JOINED) + "\\p{So}\\p{Sk}\ufe0f]"
+    # joiners that are read are put aside while the others go
+    kept = f"regexp_replace(regexp_replace(text, '({joined_by})\u200d', '\\1\ufdd0', 'g'), '({joined_by})\u200c', '\\1\ufdd1', 'g')"
+    kept = f"CASE WHEN regexp_matches(text, '{joined_by}[\u200c\u200d]') THEN {kept} ELSE text END"
+    t = f"translate(regexp_replace({kept}, '[{unseen}]', '', 'g'), '\ufdd0\ufdd1', '\u200d\u200c')"
     t = f"translate({t}, {_q(BLANKS)}, {_q(' ' * len(BLANKS))})"
     # the long tables only for the texts that need them
     mapped = f"translate(bare, {_q(from_)}, {_q(to)})"
@@ -76,6 +91,7 @@ def embedded_sql() -> str:
         mapped = f"replace({mapped}, {_q(ch)}, {_q(plain)})"
     cyr, grk = f"[{CYRILLIC}]", f"[{GREEK}]"
     word = f"""CASE
+      WHEN regexp_matches(w, '[{OTHER}]') AND regexp_matches(w, '[A-Za-z]') AND NOT regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN translate(w, {_q(OTHER)}, {_q(OTHER_AS)})
       WHEN NOT regexp_matches(w, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN w
       WHEN regexp_matches(regexp_replace(w, '{cyr}', '', 'g'), '\\p{{Cyrillic}}') THEN translate(w, {_q(LATIN_IN_CYRILLIC[0])}, {_q(LATIN_IN_CYRILLIC[1])})
       WHEN regexp_matches(regexp_replace(w, '{grk}', '', 'g'), '\\p{{Greek}}') THEN CASE WHEN regexp_matches(w, '[A-Za-z]') AND length(w) > 2 THEN translate(w, {_q(LATIN_IN_GREEK[0])}, {_q(LATIN_IN_GREEK[1])}) ELSE w END
@@ -85,7 +101,7 @@ def embedded_sql() -> str:
     WITH cut AS (SELECT *, CASE WHEN regexp_matches(text, '[^\\x20-\\x7e]') THEN {t} ELSE text END AS bare FROM batch),
     base AS (SELECT * EXCLUDE (bare), CASE WHEN bare IS NULL THEN NULL WHEN regexp_matches(bare, {_q(odd)}) THEN nfc_normalize({mapped}) ELSE nfc_normalize(bare) END AS folded FROM cut),
     other AS (SELECT *, regexp_replace(folded, '[{CYRILLIC}{GREEK}]', '', 'g') AS o FROM base),
-    spelt AS (SELECT * EXCLUDE (o, folded), CASE WHEN regexp_matches(folded, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN
+    spelt AS (SELECT * EXCLUDE (o, folded), CASE WHEN regexp_matches(folded, '[\\p{{Cyrillic}}\\p{{Greek}}{OTHER}]') THEN
         array_to_string(list_transform(regexp_extract_all(folded, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')
         ELSE folded END AS plain FROM other)
     SELECT *, trim(regexp_replace(plain, '[ \\t\\r\\n]+', ' ', 'g')) AS canonical FROM spelt

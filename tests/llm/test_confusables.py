@@ -7,9 +7,9 @@ from folioscope.llm import confusables as C
 PAIRS = [
     ("Ｔｏｔａｌ：", "Total:"), ("Bill To:", "Bill To:"), ("Da​te:﻿", "Date:"), ("Invo­ice", "Invoice"), ("INV‐2024‑1", "INV-2024-1"), ("oﬃce", "office"),
     (unicodedata.normalize("NFD", "Numéro"), "Numéro"), ("Тоtal", "Total"), ("ЅО-2023", "SO-2023"), ("Τοtal", "Total"), ("СЧЁT", "СЧЁТ"), ("２０２４．５", "2024.5"),
-    ("金⁠額", "金額"), ("（１）", "(1)"),
+    ("金⁠額", "金額"), ("（１）", "(1)"), ("T\u0585tal", "Total"), ("\u13aamount", "Amount"), ("\u0261ross", "gross"), ("Zahl\U000e0101", "Zahl"), ("x\ufe01y", "xy"), ("a\u200db", "ab"),
 ]
-SAME = ["m² ½ §4", "a – b — c", "“quoted” ‘it’", "СЧЁТ", "Дата выдачи", "Δ Budget", "a  b ", "", "Ø 15", "plain", "Δοκιμή", "№ 5 ™", "品名", "НЕТ дата"]
+SAME = ["m² ½ §4", "a – b — c", "“quoted” ‘it’", "СЧЁТ", "Дата выдачи", "Δ Budget", "a  b ", "", "Ø 15", "plain", "Δοκιμή", "№ 5 ™", "品名", "НЕТ дата", "می\u200cخواهم", "क्\u200dष", "👨\u200d👩\u200d👧", "\u0585\u0585 \u0578\u0582\u0576"]
 
 
 @pytest.fixture(scope="module")

@@ -75,6 +75,7 @@ def table_cells(nodes: DataFrame, columns: list[tuple[str, str]], tolerance: flo
         F.min_by((F.col("x0") + F.col("x1")) / 2, "span_idx").alias("hx")
     )
     r = rows.transaction_rows(nodes, tolerance).join(nodes.select("doc_id", "span_idx", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx")), ["doc_id", "span_idx"])
+    r = materialize(r.select("doc_id", "row_no", "span_idx", "text", "cx"), "transaction-rows")
     wanted = r.select("doc_id", "row_no").distinct().withColumn("c", listed).select("doc_id", "row_no", "c.label", "c.key")
     near = r.join(heads, "doc_id").groupBy("doc_id", "row_no", "label").agg(F.min_by("text", F.struct(F.abs(F.col("cx") - F.col("hx")), "span_idx")).alias("value"))
     return wanted.join(near, ["doc_id", "row_no", "label"], "left").select("doc_id", "row_no", "key", F.coalesce("value", F.lit(UNKNOWN)).alias("value"))
@@ -109,8 +110,7 @@ def records(spans: DataFrame, schema_json: str) -> DataFrame:
 
 def label_of(name: Column) -> Column:
     """The label that a field is looked up by: its words with capitals, and a colon."""
-    words = F.split(F.replace(name, F.lit("_"), F.lit(" ")), " ")
-    return F.concat(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " "), F.lit(":"))
+    return F.concat(T.display_label(name), F.lit(":"))
 
 
 def route(spans: DataFrame, docs: DataFrame, manifests: DataFrame, discover: Discover | None = None) -> DataFrame:

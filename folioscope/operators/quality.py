@@ -157,6 +157,16 @@ def heading_tiers(spans: DataFrame) -> DataFrame:
     return sizes.select("doc_id", F.posexplode(tiers).alias("tier_no", "size"))
 
 
+def font_footer(spans: DataFrame) -> DataFrame:
+    """(doc_id, footer): the lines on fonts that may follow a document's grid."""
+    one = lambda size: F.format_string("%.1f", size)
+    tiers = heading_tiers(spans).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tier_no", "size"))).alias("t"))  # four at most
+    f = font_stats(spans).join(tiers, "doc_id", "left")
+    head = F.concat(F.lit("--font-stats--\nmost_common_size: "), one(F.col("common_size")))
+    listed = F.concat(F.lit("\nheading_tiers: ["), F.array_join(F.transform("t.size", one), ", "), F.lit("]"))
+    return f.select("doc_id", F.concat(head, F.coalesce(listed, F.lit(""))).alias("footer"))
+
+
 # ---------------------------------------------------------------- classification
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -108,3 +108,9 @@ def record_counts(records: DataFrame, key: str) -> DataFrame:
     rows = F.coalesce(F.json_array_length(F.when(list_.startswith("["), list_)), F.lit(0))
     out = records.where(F.size("fields") > 0)
     return out.select(key, (F.size("fields") - n).cast("long").alias("n_scalars"), n.cast("long").alias("n_structured"), rows.cast("long").alias("n_transactions"))
+
+
+def fallback_usage(sent: Column, received: Column, price_in: float, price_out: float) -> list[Column]:
+    """input_tokens, output_tokens and cents of a call, estimated from its texts."""
+    a, b = T.token_estimate(sent), T.token_estimate(received)
+    return [a.alias("input_tokens"), b.alias("output_tokens"), T.cost_cents(a, b, price_in, price_out).alias("cents")]

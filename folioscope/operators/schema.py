@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import quality, rows
 from folioscope.operators.schema_drift import manifest_fields
+from folioscope.session import materialize
 
 TYPE_TOLERANCE = 14.0
 FALLBACK = {"invoice_number": "string", "date": "string", "total": "string"}
@@ -45,6 +46,7 @@ def colon_fields(spans: DataFrame) -> DataFrame:
 def inferred_fields(spans: DataFrame) -> DataFrame:
     """(doc_id, name, kind): colon fields, then key-value pairs with new names. Documents without any
     have the three fallback fields."""
+    spans = materialize(spans, "infer-spans")  # read by each of the ways
     a = colon_fields(spans).select("doc_id", "name", "kind", F.lit(0).alias("pass"), F.col("span_idx").alias("at"))
     kv = rows.key_values(spans).withColumn("name", T.snake_name(F.col("label"))).where("name != ''")
     b = kv.select("doc_id", "name", F.when(F.octet_length("value") <= 80, T.field_type(F.col("value"))).otherwise("string").alias("kind"), F.lit(1).alias("pass"), F.col("pair_no").alias("at"))
@@ -64,8 +66,9 @@ def discovered_fields(spans: DataFrame) -> DataFrame:
     """(doc_id, name, kind, columns): inferred fields plus ``transactions`` with its columns (label to key)."""
     t = rows.transaction_columns(spans).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "key")))).alias("columns"))
     arrays = t.select("doc_id", F.lit("transactions").alias("name"), F.lit("array").alias("kind"), "columns")
-    plain = inferred_fields(spans).where("name != 'transactions'").withColumn("columns", F.lit(None).cast("map<string,string>"))
-    clash = inferred_fields(spans).where("name = 'transactions'").join(t.select("doc_id"), "doc_id", "left_anti").withColumn("columns", F.lit(None).cast("map<string,string>"))
+    found = materialize(inferred_fields(spans), "inferred-fields")
+    plain = found.where("name != 'transactions'").withColumn("columns", F.lit(None).cast("map<string,string>"))
+    clash = found.where("name = 'transactions'").join(t.select("doc_id"), "doc_id", "left_anti").withColumn("columns", F.lit(None).cast("map<string,string>"))
     return plain.unionByName(clash).unionByName(arrays)
 
 

@@ -16,6 +16,7 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +39,7 @@ RETYPED = 0.3
 #: Share of the expected versions with both names from which the names count as different things.
 LIFT = 0.15
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_\-\s]+")
+_RUNS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
 _KINDS = {str: "string", int: "number", float: "number", bool: "boolean", list: "array", dict: "object"}
 
 
@@ -81,23 +83,24 @@ def manifest_fields(schema_json: str) -> list[tuple[str, str, str]] | None:
     return list(out.values())
 
 
-def _features(v) -> list[str]:
+@lru_cache(maxsize=1 << 16, typed=True)
+def _features(v) -> tuple[str, ...]:
     """Sketch of one scalar: bounded in number over all values."""
     if isinstance(v, bool):
-        return [f"b{v}"]
+        return (f"b{v}",)
     if isinstance(v, (int, float)):
         try:
             a = abs(float(v))
         except OverflowError:
             a = math.inf
         if not math.isfinite(a):
-            return ["ninf"]
+            return ("ninf",)
         whole = float(v).is_integer()
         decimals = 0 if whole else min(6, len(repr(v).rpartition(".")[2]))
-        return [f"g{min(18, int(math.log10(a + 1) * 2))}", f"d{decimals}{'-' if v < 0 else ''}", f"i{isinstance(v, int)}"]
+        return (f"g{min(18, int(math.log10(a + 1) * 2))}", f"d{decimals}{'-' if v < 0 else ''}", f"i{isinstance(v, int)}")
     text = v.strip() if v.isascii() else v.strip().encode("utf-8", "replace").decode()
-    mask = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", text))[:24]
-    return [f"m{mask if len(set(mask)) < 9 else len(mask)}", f"v{zlib.crc32(text.encode("utf-8", "replace")) % VALUE_BUCKETS}", f"w{min(12, text.count(' '))}"]
+    mask = _RUNS.sub("a", _DIGITS.sub("9", text))[:24]
+    return (f"m{mask if len(set(mask)) < 9 else len(mask)}", f"v{zlib.crc32(text.encode("utf-8", "replace")) % VALUE_BUCKETS}", f"w{min(12, text.count(' '))}")
 
 
 def _walk(value, prefix: str, kinds: Counter, sketch: Counter) -> None:

@@ -207,13 +207,14 @@ def grid_lines(spans: DataFrame, x_bucket: float = 8.0, y_bucket: float = 15.0)
     s = s.withColumn("row_no", F.floor((F.col("max_y") - F.col("y1")) / y_bucket).cast("int")).withColumn(
         "col0", F.floor((F.col("x0") - F.col("min_x")) / x_bucket).cast("int")
     )
-    chars = s.where("text != ''").select("doc_id", "row_no", "cols", "col0", "span_idx", F.posexplode(F.split("text", "")).alias("k", "ch"))
-    cells = (
-        chars.where("ch != ''").withColumn("c", F.col("col0") + F.col("k")).where("c < cols")
-        .groupBy("doc_id", "row_no", "c").agg(F.max_by("ch", F.struct("span_idx", "k")).alias("ch"))
-    )
-    rows = cells.groupBy("doc_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("c", "ch"))).alias("m"), F.max("c").alias("last"))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(" "))), "")
+    # each row's spans are laid over one another in their order, so no sign has a row of its own
+    rows = s.where("text != ''").groupBy("doc_id", "row_no", "cols").agg(F.array_sort(F.collect_list(F.struct("span_idx", "col0", "text"))).alias("laid"))
+
+    def lay(line: Column, span: Column) -> Column:
+        wide = F.rpad(line, F.greatest(F.char_length(line), span["col0"]), " ")
+        return F.overlay(wide, span["text"], span["col0"] + 1, F.char_length(span["text"]))
+
+    line = F.substring(F.aggregate("laid", F.lit(""), lay), F.lit(1), F.col("cols"))
     out = rows.select("doc_id", "row_no", F.regexp_replace(line, rf"[{T.WHITE}]+\z", "").alias("line"))
     return out.where("line != ''")
 

@@ -528,6 +528,20 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
     return runs.token_estimates(table(spark, d, "documents"))
 
 
+_EST = "((length(x) - cjk) // 4 + cjk // 2)::BIGINT"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, x, length(regexp_replace(x, '[\\x{{0000}}-\\x{{2E80}}]', '', 'g')) AS cjk, k FROM (SELECT doc_id, coalesce(text, '') AS x, 1 AS k FROM documents UNION ALL SELECT doc_id, coalesce(title, ''), 2 FROM documents)),
+    u AS (SELECT doc_id, sum({_EST}) FILTER (k = 1)::BIGINT AS input_tokens, sum({_EST}) FILTER (k = 2)::BIGINT AS output_tokens FROM t GROUP BY doc_id)
+    SELECT *, round((input_tokens * 14.0::DOUBLE + output_tokens * 28.0::DOUBLE) / 1e6 * 100)::BIGINT AS cents FROM u"""
+)
+def fallback_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Usage of calls whose answer tells none, estimated from what was sent and received."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("sent"), F.coalesce("title", F.lit("")).alias("received"))
+    return t.select("doc_id", *runs.fallback_usage(F.col("sent"), F.col("received"), 14.0, 28.0))
+
+
 @query(
     f"""WITH {_CALLS} SELECT call_id, round((token_usage.input_tokens * 0.14 + token_usage.output_tokens * 0.28) / 1e6 * 100)::BIGINT AS cents, least(8000, 500 * pow(2, least(greatest(call_id % 7 - 1, 0), 4)))::INT AS backoff_ms,
     (400 + call_id % 110) IN (429, 500, 502, 503, 504) AS retry FROM c"""
@@ -571,6 +585,12 @@ def field_scores(spark: SparkSession, d: str) -> DataFrame:
     return runs.field_scores(found, want)
 
 
+@query(ORACLE["field_scores"])
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The scores in order of their documents."""
+    return field_scores(spark, d).orderBy("doc_id")
+
+
 @query(f"WITH {_INVOICE} SELECT doc_id, 3::BIGINT AS n_expected, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 3 END::BIGINT AS hits FROM o")
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     """Detected pairs of the invoices against the truth, in which every tenth total is wrong."""

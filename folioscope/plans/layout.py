@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import layout, quality
 from folioscope.operators import spans as S
-from folioscope.session import table
+from folioscope.session import materialize, table
 from folioscope.sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,25 @@ def anchors_by_page(spark: SparkSession, d: str) -> DataFrame:
     return layout.anchors(_spans(spark, d), multi_page=True).select("doc_id", "rn", "text", "page", "span_idx")
 
 
+@query(f"WITH {_ANCHORS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, x, text, span_idx) AS rn, text, span_idx FROM a WHERE real_page <= 1")
+def anchors_first_page(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of first pages; spans without page count as such."""
+    return layout.anchors(_spans(spark, d), first_page_only=True).select("doc_id", "rn", "text", "span_idx")
+
+
+_MORE = ("rechnung", "factura", "net 30")
+_PATTERNS = (r"^INV-\d", "(")
+
+
+@query(
+    f"""WITH {_ANCHORS.replace("contains(lower(t), 'unit price')", "contains(lower(t), 'unit price') OR list_has_any(regexp_split_to_array(lower(t), '[" + WS + "]+'), ['rechnung', 'factura']) OR contains(lower(t), 'net 30') OR regexp_matches(t, '^INV-[0-9]')")}
+    SELECT doc_id, rn, text, span_idx FROM r"""
+)
+def anchors_custom(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors with more keywords and a pattern; the pattern that doesn't compile is ignored."""
+    return layout.anchors(_spans(spark, d), keywords=_MORE, patterns=_PATTERNS).select("doc_id", "rn", "text", "span_idx")
+
+
 @query(f"WITH {_ANCHORS} SELECT doc_id, rn, dx, dy FROM d WHERE dx IS NOT NULL")
 def anchor_deltas(spark: SparkSession, d: str) -> DataFrame:
     return layout.anchor_deltas(layout.anchors(_spans(spark, d)))
@@ -255,6 +274,25 @@ def uncached_documents(spark: SparkSession, d: str) -> DataFrame:
     return layout.cache_split(_doc_layouts(spark, d), _cached(spark, d))[1].select("doc_id", "layout_id")
 
 
+@query(
+    f"""WITH {_LAYOUT}, {_CURRENT}, seen AS (SELECT ids.layout_id FROM ids JOIN docs USING (doc_id) JOIN cur ON cur.layout_id = docs.layout_id AND v = 3)
+    SELECT layout_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM ids WHERE layout_id NOT IN (SELECT layout_id FROM seen) GROUP BY layout_id"""
+)
+def warm_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints that no document of a cached layout has, with the document each would be compiled from."""
+    ids = layout.layout_ids(_spans(spark, d))
+    seen = ids.join(cached_documents(spark, d).select("doc_id"), "doc_id", "left_semi")
+    return layout.cache_split(ids, seen.select("layout_id").distinct())[1].groupBy("layout_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query(r"SELECT DISTINCT path, trim(path) <> '' AND NOT list_contains(regexp_split_to_array(path, '[/\\]'), '..') AS safe FROM (SELECT path FROM batch_entries UNION ALL SELECT '../' || path FROM batch_entries UNION ALL SELECT source_file FROM extracted_records)")
+def safe_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the paths of files, and the same a folder up, may be used as a cache folder."""
+    b = table(spark, d, "batch_entries").select("path")
+    every = b.unionByName(b.select(F.concat(F.lit("../"), "path").alias("path"))).unionByName(table(spark, d, "extracted_records").select(F.col("source_file").alias("path")))
+    return every.distinct().select("path", T.is_safe_path(F.col("path")).alias("safe"))
+
+
 _ARTIFACTS = """art AS (
   SELECT layout_id, 'manifest' AS kind, 1 AS size FROM layout_manifests WHERE layout_id IS NOT NULL
   UNION ALL SELECT layout_id, 'module', CASE WHEN success THEN duration_ms ELSE 0 END FROM batch_entries WHERE layout_id <> ''
@@ -327,19 +365,27 @@ def likely_labels(spark: SparkSession, d: str) -> DataFrame:
     return quality.likely_labels(_spans(spark, d))
 
 
-@query(
-    f"""WITH RECURSIVE {_FONTS}, z AS (SELECT DISTINCT doc_id, font_size, font_size / common_size >= 1.2 AS big, is_bold AND font_size / common_size >= 1.05 AS bold FROM rr WHERE regexp_matches(text, '\\p{{L}}')),
+_TIERS = f"""z AS (SELECT DISTINCT doc_id, font_size, font_size / common_size >= 1.2 AS big, is_bold AND font_size / common_size >= 1.05 AS bold FROM rr WHERE regexp_matches(text, '\\p{{L}}')),
     pick AS (SELECT doc_id, font_size FROM z WHERE big UNION SELECT doc_id, font_size FROM z WHERE bold AND NOT EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.big)),
     o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY font_size DESC) AS rn FROM pick),
     f AS (SELECT doc_id, rn, [font_size] AS kept FROM o WHERE rn = 1 UNION ALL
       SELECT f.doc_id, o.rn, CASE WHEN len(list_filter(kept, lambda k: abs(k - o.font_size) < 0.5)) > 0 THEN kept ELSE list_append(kept, o.font_size) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.rn = f.rn + 1),
-    e AS (SELECT doc_id, arg_max(kept, rn)[1:4] AS kept FROM f GROUP BY doc_id)
-    SELECT doc_id, (generate_subscripts(kept, 1) - 1)::INT AS tier_no, unnest(kept) AS size FROM e"""
-)
+    e AS (SELECT doc_id, arg_max(kept, rn)[1:4] AS kept FROM f GROUP BY doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_FONTS}, {_TIERS} SELECT doc_id, (generate_subscripts(kept, 1) - 1)::INT AS tier_no, unnest(kept) AS size FROM e")
 def heading_tiers(spark: SparkSession, d: str) -> DataFrame:
     return quality.heading_tiers(_spans(spark, d))
 
 
+@query(
+    f"""WITH RECURSIVE {_FONTS}, {_TIERS} SELECT fs.doc_id, '--font-stats--' || chr(10) || 'most_common_size: ' || printf('%.1f', common_size)
+      || CASE WHEN len(kept) > 0 THEN chr(10) || 'heading_tiers: [' || array_to_string(list_transform(kept, lambda x: printf('%.1f', x)), ', ') || ']' ELSE '' END AS footer FROM fs LEFT JOIN e USING (doc_id)"""
+)
+def grid_footers(spark: SparkSession, d: str) -> DataFrame:
+    return quality.font_footer(_spans(spark, d))
+
+
 _PUA = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 _NOT_PUA = _PUA.replace("[", "[^", 1)
 
@@ -470,6 +516,17 @@ def classify_early_exit(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify_pages(_page_table(spark, d), strategy="early_exit")
 
 
+@query(f"WITH {_PAGES}, sel AS (SELECT * FROM fl), {_CLASSES} SELECT * FROM cl")
+def classify_full(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify_pages(_page_table(spark, d), strategy="full")
+
+
+@query(f"WITH {_PAGES}, sel AS (SELECT * FROM fl WHERE page IN (1, 3)), {_CLASSES} SELECT * FROM cl")
+def classify_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """By the first and third page."""
+    return quality.classify_pages(_page_table(spark, d), strategy="pages", chosen=[1, 3])
+
+
 @query(
     f"""WITH {_PAGES}, {_SAMPLED}, {_CLASSES}, j AS (SELECT fl.*, cl.pdf_type, pdf_type = 'mixed' OR sel.page IS NOT NULL AS known FROM fl JOIN cl USING (doc_id) LEFT JOIN sel ON sel.doc_id = fl.doc_id AND sel.page = fl.page),
     nd AS (SELECT * FROM j WHERE pdf_type IN ('scanned', 'image') OR (pdf_type = 'mixed' AND mixed_ocr) OR (known AND undecodable))
@@ -523,3 +580,11 @@ def pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     """Kind of each document's PDF file, from what its pages' content streams hold."""
     pages = pdf.parse_files(_pdfs(spark, d), "pages").where("error IS NULL").withColumnRenamed("path", "doc_id").drop("error")
     return quality.classify_pages(pages)
+
+
+@query()
+def pdf_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of PDF files scanned and their pages rated in one go."""
+    s = pdf.parse_files(_pdfs(spark, d)).where("error IS NULL").withColumn("doc_id", F.col("path").cast("long")).drop("path", "error")
+    r = quality.quality_report(materialize(s, "pdf-spans"))
+    return r.select("doc_id", "has_encoding_issues", F.array_join(F.transform("pages_needing_ocr", lambda p: p.cast("string")), " ").alias("pages"))

@@ -58,3 +58,12 @@ def test_routes_of_known_and_new_layouts(spark, sf):
 def test_pages_of_files(spark, sf):
     kinds = {r.pdf_type for r in catalogue.QUERIES["pdf_pages"](spark, sf).collect()}
     assert "text" in kinds
+
+
+def test_records_over_the_size_limit_are_dead_letters(spark):
+    from folioscope.operators import extract
+
+    df = spark.createDataFrame([(1, "x" * 20), (2, "y" * 21), (3, None)], "doc_id long, j string")
+    good, bad = extract.within(df, "j", 20)
+    assert sorted(r.doc_id for r in good.collect()) == [1, 3]
+    assert [(r.doc_id, r.error) for r in bad.collect()] == [(2, "result of 21 bytes is over 20")]

@@ -96,7 +96,32 @@ QUERIES = {
     f.__name__: f
     for f in (p2_found, p2_unified, p2_schemas, p2_accounted, p4_found, p4_variants, p4_supertypes, p4_links, p4_tables, p4_items, p4_typed, p4_rebuilt, p5_found, p5_instants, p5_zones)
 }
+# An array kept as JSON text is read as the array; \x01 field \x02 marks an object alone in a field, until it is known which
+# fields hold arrays.
+_INNER = "CASE WHEN json_type(v) = 'VARCHAR' AND ltrim(v->>'$') LIKE '[%' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END"
+_NODES = f"""base AS (SELECT DISTINCT 'record' AS src, record_id AS ref_id, fields_json::JSON AS j FROM extracted_records WHERE json_valid(fields_json)
+      UNION ALL SELECT DISTINCT 'entry', entry_id, fields_json::JSON FROM batch_entries WHERE json_valid(fields_json)),
+    n AS (SELECT src, ref_id, '' AS path, '' AS field, '' AS owner, j, coalesce(json_type(j), 'NULL') AS kind, true AS root, false AS elem FROM base
+      UNION ALL SELECT src, ref_id, CASE WHEN key IS NULL THEN path || '[' || i || ']' ELSE CASE WHEN root THEN key ELSE path || '.' || key END || CASE WHEN json_type(v) = 'OBJECT' THEN chr(1) || sub || chr(2) ELSE '' END END,
+        sub, CASE WHEN up = 'OBJECT' THEN path ELSE owner END, v, json_type(v), false, key IS NULL
+      FROM (SELECT * EXCLUDE (v), CASE WHEN key IS NULL THEN field WHEN root AND field = '' THEN key ELSE field || '.' || key END AS sub, {_INNER} AS v FROM
+        (SELECT src, ref_id, path, field, owner, root, kind AS up, c.key AS key, c.i AS i, json_extract(j, CASE WHEN c.key IS NULL THEN '$[' || c.i || ']' ELSE '$."' || c.key || '"' END) AS v FROM
+          (SELECT *, unnest(CASE WHEN kind = 'OBJECT' THEN list_transform(json_keys(j), lambda k: {{'key': k, 'i': NULL::BIGINT}}) ELSE list_transform(range(json_array_length(j)::BIGINT), lambda x: {{'key': NULL::VARCHAR, 'i': x}}) END) AS c
+           FROM n WHERE kind IN ('OBJECT', 'ARRAY')))) WHERE json_type(v) IN ('OBJECT', 'ARRAY')),
+    arr AS (SELECT src, list(DISTINCT field) AS fields FROM n WHERE kind = 'ARRAY' GROUP BY src),
+    ob AS (SELECT n.*, coalesce(fields, []) AS fields FROM n LEFT JOIN arr USING (src) WHERE kind = 'OBJECT' OR root)"""
+
+
+def _path_sql(marked: str) -> str:
+    parts = f"string_split({marked}, chr(1))"
+    rest = f"list_transform({parts}[2:], lambda p: CASE WHEN list_contains(fields, split_part(p, chr(2), 1)) THEN '[0]' ELSE '' END || split_part(p, chr(2), 2))"
+    return f"{parts}[1] || coalesce(array_to_string({rest}, ''), '')"
+
+
+_ELEMENT = "NOT root AND (elem OR list_contains(fields, field))"
 ORACLE: dict[str, str] = {
+    "p4_found": f"WITH RECURSIVE {_NODES} SELECT src, ref_id, {_path_sql('path')} AS node_path FROM ob WHERE {_ELEMENT}",
+    "p4_links": f"WITH RECURSIVE {_NODES} SELECT src, ref_id, field, {_path_sql('path')} AS node_path, CASE WHEN NOT root THEN {_path_sql('owner')} END AS parent_path, {_ELEMENT} AS is_element FROM ob",
     "p2_accounted": "SELECT DISTINCT record_id, true AS same FROM extracted_records WHERE json_valid(fields_json)",
     "p4_rebuilt": """SELECT DISTINCT 'record' AS src, record_id AS ref_id, true AS same FROM extracted_records WHERE json_valid(fields_json)
     UNION ALL SELECT DISTINCT 'entry', entry_id, true FROM batch_entries WHERE json_valid(fields_json)""",

@@ -141,5 +141,7 @@ def label_texts(spans: DataFrame, anchors: DataFrame) -> DataFrame:
 def find_variants(texts: DataFrame, garbled: DataFrame | None = None) -> DataFrame:
     """Distinct (src, doc_id, pos) of texts written with other characters that look alike.
     ``garbled`` holds keys of texts whose odd characters come from a wrong encoding."""
-    found = normalise(texts).where(F.col("plain") != F.col("text")).select("src", "doc_id", "pos").distinct()
+    # nothing else can change in a text of printable ASCII signs
+    odd = texts.where(F.col("text").rlike(r"[^\x20-\x7e]"))
+    found = normalise(odd).where(F.col("plain") != F.col("text")).select("src", "doc_id", "pos").distinct()
     return found if garbled is None else found.join(garbled, ["src", "doc_id", "pos"], "left_anti")

@@ -56,7 +56,8 @@ def p3_combined(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     labels = _labels(spark, d)
-    garbled = mojibake.find_garbled(labels, vocabulary=labels.unionByName(_pieces(spark, d)))
+    # the pieces hold the spans as well
+    garbled = mojibake.find_garbled(labels, vocabulary=_pieces(spark, d).unionByName(labels.where("src = 'anchor'")))
     return confusables.find_variants(labels, garbled)
 
 

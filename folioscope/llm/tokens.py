@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("FOLIOSCOPE_TOKENIZERS", "/opt/tokenizers")
@@ -17,12 +18,15 @@ RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest piece handed to the tokenizer at once; longer texts are cut at line ends or blanks near it.
 PIECE = 100_000
+_sent: dict[str, set[str]] = {}
 
 
 @lru_cache(maxsize=4)
 def encoding(path: str):
     import tiktoken
 
+    if not os.path.exists(path):  # on a machine without the folder, the copy that came with the job
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -44,7 +48,11 @@ def pieces(text: str) -> list[str]:
 
 
 def token_count(text: Column | str, path: str = RANKS) -> Column:
-    """Number of tokens of the whole text; 0 for null and empty texts."""
+    """Number of tokens of the whole text; 0 for null and empty texts. The file of ranks goes along with the job."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path) and path not in _sent.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(path)
+        _sent[spark.sparkContext.applicationId].add(path)
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -129,27 +129,14 @@ def _into(items: list, prefix: str, kinds: Counter, sketch: Counter) -> None:
 def _profile_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Profiles of files whose records come one after the other, repeated ones side by side."""
     sys.setrecursionlimit(100_000)
-    counted = pa.list_(pa.struct([("item", pa.string()), ("n", pa.int64())]))
     file, last, kinds, sketch = None, None, Counter(), Counter()
-
-    def profile() -> list[tuple]:
-        by_field: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for side, counts in enumerate((kinds, sketch)):
-            for (field, item), n in counts.items():
-                by_field[field][side].append({"item": item, "n": n})
-        return [(*file, field, k, sk) for field, (k, sk) in by_field.items()]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds_ = (pa.string(), pa.int32(), pa.string(), counted, counted)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], names=["layout_id", "seq_no", "field", "kinds", "sketch"])
+    out = _Profiles()
 
     for batch in batches:
-        rows = []
         for layout, no, part, record_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             if (layout, no, part) != last:
                 if kinds:
-                    rows += profile()
+                    out.add(file, kinds, sketch)
                 last, file, kinds, sketch, before = (layout, no, part), (layout, no), Counter(), Counter(), None
             elif record_id is not None and record_id == before:
                 continue
@@ -160,9 +147,41 @@ def _profile_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 continue
             if isinstance(record, dict):
                 _walk(record, "", kinds, sketch)
-        yield out(rows)
+        yield out.taken()
     if kinds:
-        yield out(profile())
+        out.add(file, kinds, sketch)
+        yield out.taken()
+
+
+class _Profiles:
+    """Rows of (layout_id, seq_no, field, kinds, sketch), gathered column by column."""
+
+    def __init__(self):
+        self.layouts, self.numbers, self.fields = [], [], []
+        self.counted = [([0], [], []), ([0], [], [])]
+
+    def add(self, file: tuple, kinds: Counter, sketch: Counter) -> None:
+        by_field: dict[str, tuple[list, list]] = {}
+        for side, counts in enumerate((kinds, sketch)):
+            for (field, item), n in counts.items():
+                by_field.setdefault(field, ([], []))[side].append((item, n))
+        for field, sides in by_field.items():
+            self.layouts.append(file[0])
+            self.numbers.append(file[1])
+            self.fields.append(field)
+            for (ends, items, ns), pairs in zip(self.counted, sides):
+                items += [i for i, _ in pairs]
+                ns += [n for _, n in pairs]
+                ends.append(len(items))
+
+    def taken(self) -> pa.RecordBatch:
+        lists = [
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(items, pa.string()), pa.array(ns, pa.int64())], names=["item", "n"]))
+            for ends, items, ns in self.counted
+        ]
+        columns = [pa.array(self.layouts, pa.string()), pa.array(self.numbers, pa.int32()), pa.array(self.fields, pa.string()), *lists]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["layout_id", "seq_no", "field", "kinds", "sketch"])
 
 
 def profile_records(records: DataFrame) -> DataFrame:

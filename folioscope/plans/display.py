@@ -9,7 +9,7 @@ from folioscope.functions import display
 from folioscope.functions import text as T
 from folioscope.operators import extract, rows
 from folioscope.operators import spans as S
-from folioscope.plans.extraction import _GROUPS, _INVOICE, _PAIRS, _ROWS, _SCHEMA, _TABLES, _TCOLS, _THREE, _statements, field_scores, invoices
+from folioscope.plans.extraction import _GROUPS, _INVOICE, _PAIRS, _ROWS, _SCHEMA, _STATEMENT, _TABLES, _TCOLS, _TROWS, _THREE, _statements, field_scores, invoices
 from folioscope.plans.extraction import ORACLE as EXTRACTION
 from folioscope.plans.layout import BASE, _spans, q_trim
 from folioscope.session import materialize, table
@@ -83,7 +83,13 @@ def record_csv(spark: SparkSession, d: str) -> DataFrame:
     return display.record_csv(extract.records(invoices(spark, d), _THREE))
 
 
-@query()
+@query(
+    f"""WITH {_STATEMENT}, {_TROWS}, k AS (SELECT * FROM (VALUES ('date', 46.5), ('narration', 187.0), ('amount', 356.0)) k(key, hx)),
+    n AS (SELECT doc_id, row_no, key, arg_min(text, (abs((x0 + x1) / 2 - hx), span_idx)) AS value FROM tr, k GROUP BY ALL),
+    ln AS (SELECT doc_id, row_no, {" || ',' || ".join(f"chr(34) || max(value) FILTER (key = '{x}') || chr(34)" for x in ("amount", "date", "narration"))} || ',' || chr(34) || 'Unknown' || chr(34) AS line FROM n GROUP BY ALL),
+    al AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS lines FROM ln GROUP BY doc_id)
+    SELECT doc_id, array_to_string(['client_name,segment', chr(34) || c_name || '","' || c_mktsegment || chr(34), '', 'transactions', 'amount,date,narration,units', lines], chr(10)) AS csv FROM al JOIN customer ON c_custkey = doc_id"""
+)
 def statement_csv(spark: SparkSession, d: str) -> DataFrame:
     """CSV of records with an array of transactions."""
     return display.record_csv(extract.records(_statements(spark, d), _SCHEMA))

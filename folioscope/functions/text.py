@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters with Unicode's White_Space property.
@@ -34,7 +34,7 @@ def col(c: Column | str) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Without any White_Space at either end."""
-    return F.regexp_replace(col(c), rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def words(c: Column) -> Column:
@@ -84,7 +84,7 @@ def is_table_date(c: Column) -> Column:
 
 def is_toc_entry(label: Column, value: Column) -> Column:
     """A bare page number beside a label that doesn't end with a colon."""
-    return trim(value).rlike(r"^[0-9]{1,4}\z") & ~F.regexp_replace(label, rf"[{WHITE}]+\z", "").endswith(":")
+    return trim(value).rlike(r"^[0-9]{1,4}\z") & ~F.rtrim(label, F.lit(WHITE)).endswith(":")
 
 
 def colon_label(text: Column) -> Column:
@@ -107,7 +107,7 @@ def display_label(name: Column) -> Column:
 
 def compact_line(line: Column) -> Column:
     """Leaders (runs of dots, underscores and middle dots of three bytes or more) become one blank."""
-    return F.regexp_replace(F.regexp_replace(line, r" ?([._·]{3,}|·[._·]|[._]·)", " "), rf"[{WHITE}]+\z", "")
+    return F.rtrim(F.regexp_replace(line, r" ?([._·]{3,}|·[._·]|[._]·)", " "), F.lit(WHITE))
 
 
 def without_breaks(c: Column) -> Column:
@@ -217,3 +217,10 @@ def span_issue(text: Column) -> Column:
     t = trim(text)
     strong = dollars_as_blanks(t) | has_private_use_run(t) | is_cid_garbage(t) | has_control_token(t)
     return F.when(t == "", None).when(strong, "strong").when(has_replacement_run(t), "replacement")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often they are read: the optimizer would write
+    them out again at each place, but doesn't look through a generator."""
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.select(*(F.col(c) for c in df.columns if c not in columns), *(F.col(f"_once.{n}") for n in columns))

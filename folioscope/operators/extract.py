@@ -29,7 +29,8 @@ def label_values(spans: DataFrame, labels: list[str]) -> DataFrame:
     any such span, then the rest of the first span that starts with the label and has text after its
     colon ('heuristic'). Neighbours are looked up for the spans equal to a label only."""
     given = F.array(*(F.lit(x) for x in labels))
-    low = F.lower(T.trim("text"))
+    spans = T.once(spans, low=F.lower(T.trim("text")))
+    low = F.col("low")
     equal = low.isin(*[x.strip().lower() for x in labels])
     starts = reduce(lambda a, b: a | b, [low.startswith(x.strip().lower()) for x in labels])
     kept = spans.withColumn("line", equal | (starts & F.col("text").contains(":"))).withColumn("t", F.when(F.col("line"), T.trim("text")))

@@ -215,7 +215,7 @@ def grid_lines(spans: DataFrame, x_bucket: float = 8.0, y_bucket: float = 15.0)
         return F.overlay(wide, span["text"], span["col0"] + 1, F.char_length(span["text"]))
 
     line = F.substring(F.aggregate("laid", F.lit(""), lay), F.lit(1), F.col("cols"))
-    out = rows.select("doc_id", "row_no", F.regexp_replace(line, rf"[{T.WHITE}]+\z", "").alias("line"))
+    out = rows.select("doc_id", "row_no", F.rtrim(line, F.lit(T.WHITE)).alias("line"))
     return out.where("line != ''")
 
 

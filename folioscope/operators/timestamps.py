@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import once
 from folioscope.session import broadcast_if_small, materialize
 
 #: Delays from a time to its ingestion that are told apart, in quarters of an hour; longer and shorter ones
@@ -109,13 +110,6 @@ def _instant(y: Column, m: Column, d: Column, time: Column) -> Column:
     return F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + time)
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once a row, however often they are read: the optimizer would write
-    them out again at each place, but doesn't look through a generator."""
-    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
-    return made.select(*(F.col(c) for c in df.columns if c not in columns), *(F.col(f"_once.{n}") for n in columns))
-
-
 def parse(texts: DataFrame) -> DataFrame:
     """Adds to texts(..., text): ``epoch`` (instant of a number since 1970), ``local`` (written time
     as if UTC, for slashes with the day first), ``local_mdy`` (slashes with the month first), ``offset``
@@ -126,13 +120,13 @@ def parse(texts: DataFrame) -> DataFrame:
     is_number = t.rlike(_EPOCH)
     number = F.when(is_number, t).try_cast("decimal(29,9)")
     micros = F.when(whole > 17, F.floor(number / 1000)).otherwise(number * scale).cast("decimal(38,0)").cast("long")
-    rows = _once(texts, p=_parts(t), epoch=F.when(is_number, F.timestamp_micros(micros)))
-    rows = _once(rows, p=F.when(F.size("p") == 10, F.col("p")))
+    rows = once(texts, p=_parts(t), epoch=F.when(is_number, F.timestamp_micros(micros)))
+    rows = once(rows, p=F.when(F.size("p") == 10, F.col("p")))
     p = F.col("p")
     fit = p.isNotNull()
     slash = p[1].endswith("/")
     first = F.when(slash, F.regexp_replace(p[1], "/", "")).when(p[1].rlike("^[0-9]"), p[1]).try_cast("int")
-    rows = _once(rows, y=p[0].try_cast("int"), a=F.coalesce(first, _month(p[1])), b=p[2].try_cast("int"), time=_time(p), by_slash=fit & slash)
+    rows = once(rows, y=p[0].try_cast("int"), a=F.coalesce(first, _month(p[1])), b=p[2].try_cast("int"), time=_time(p), by_slash=fit & slash)
     slash, y, a, b = F.col("by_slash"), F.col("y"), F.col("a"), F.col("b")
     zone = F.upper(p[7])
     digits = F.regexp_replace(p[7], ":", "")
@@ -143,7 +137,7 @@ def parse(texts: DataFrame) -> DataFrame:
         .otherwise(F.try_element_at(abbreviation, zone))
     )
     offset = F.when(F.abs(offset) <= 18 * 60, offset)
-    return _once(
+    return once(
         rows,
         local=_instant(y, F.when(slash, b).otherwise(a), F.when(slash, a).otherwise(b), F.col("time")),
         local_mdy=F.when(slash, _instant(y, a, b, F.col("time"))),
@@ -225,14 +219,14 @@ def verdicts(texts: DataFrame) -> DataFrame:
     parsed = parse(texts).join(broadcast_if_small(order, BROADCAST_ROWS), ["src", "grp"], "left")
     local = F.when(F.col("slash").isNotNull() & ~F.col("day_first"), F.col("local_mdy")).otherwise(F.col("local"))
     named = F.coalesce(F.when(F.col("region").isin(*valid), F.col("region")), F.when(F.col("zone").isin(*valid), F.col("zone")))
-    rows = _once(parsed, local=local, named=named)
+    rows = once(parsed, local=local, named=named)
     by_zone = F.to_utc_timestamp("local", F.col("named"))
     u = (
         F.when(F.col("epoch").isNotNull(), F.col("epoch"))
         .when(F.col("offset").isNotNull(), F.timestamp_micros(F.unix_micros("local") - F.col("offset").cast("long") * 60_000_000))
         .when(F.col("named").isNotNull(), by_zone)
     )
-    rows = _once(rows, utc=u)
+    rows = once(rows, utc=u)
     in_zone = F.col("epoch").isNull() & F.col("offset").isNull() & F.col("named").isNotNull() & F.col("local").isNotNull()
     back = lambda minutes: F.from_utc_timestamp(F.timestamp_micros(F.unix_micros("utc") + F.lit(minutes * 60_000_000).cast("long")), F.col("named"))
     twice = reduce(lambda a, b: a | b, [back(m) == F.col("local") for m in (60, -60, 30, -30)])
@@ -243,7 +237,7 @@ def verdicts(texts: DataFrame) -> DataFrame:
         .when(F.col("epoch").isNull() & (F.to_date("utc") != F.to_date("local")), "shifted")
         .otherwise("plain")
     )
-    return _once(rows, verdict=verdict).select(
+    return once(rows, verdict=verdict).select(
         "src", "ref_id", "field_name", "grp", F.when(in_zone, F.col("named")).alias("named"), "local", "utc", "ingested_at", "verdict"
     )
 

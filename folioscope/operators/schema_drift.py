@@ -440,9 +440,12 @@ def changes_between(fields: DataFrame, record_profile: DataFrame) -> DataFrame:
     come = open_.where("side = 'come'").select(*at, F.col("field").alias("b"), parent.alias("parent"), "kind")
     pairs = gone.join(come.drop("kind"), [*at, "parent"]).select("a", "b").distinct()
     line = ["src", "layout_id"]
-    sets = fields.groupBy(*at).agg(F.collect_set("field").alias("fields"))
-    sizes = sets.groupBy(*line).agg(F.count("*").alias("n_l"))
-    per_line = fields.groupBy(*line, "field").agg(F.countDistinct("seq_no").alias("n"))
+    pairs = materialize(pairs, "p2-pairs")
+    asked = pairs.select(F.col("a").alias("field")).unionByName(pairs.select(F.col("b").alias("field"))).distinct()
+    asked = fields.join(broadcast_if_small(asked, BROADCAST_FILES, 2 * pairs.count()), "field", "left_semi")
+    sets = asked.groupBy(*at).agg(F.collect_set("field").alias("fields"))
+    sizes = fields.select(*at).distinct().groupBy(*line).agg(F.count("*").alias("n_l"))
+    per_line = materialize(asked.groupBy(*line, "field").agg(F.countDistinct("seq_no").alias("n")), "p2-lines")
     na = per_line.withColumnsRenamed({"field": "a", "n": "na"})
     nb = per_line.withColumnsRenamed({"field": "b", "n": "nb"})
     chance = (
